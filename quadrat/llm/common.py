@@ -48,6 +48,8 @@ def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quadrat-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # The stored rows replace the shuffle files behind them; those go when the driver collects its garbage.
+    spark.sparkContext._jvm.System.gc()
     _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

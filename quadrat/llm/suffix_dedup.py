@@ -11,8 +11,8 @@ A corpus is too large for one array, so texts are first cut into segments that
 can repeat.  Of the k-byte strings in a window of `least` bytes the one with
 the smallest hash is the window's anchor; equal windows have equal anchors at
 equal places.  Anchors that occur once are dropped.  Windows of one anchor make
-a segment, equal segments are one, and the segments of an anchor go into the
-same array.
+a segment; of equal segments all but the first are repeated as a whole, and an
+anchor's different segments go into one array.
 """
 
 from __future__ import annotations
@@ -50,26 +50,25 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def _rolling(b: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k bytes in a row."""
-    p, q = _powers(CHUNK + 4 * LEAST)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p[: len(b)], out=sums[1:], dtype=np.uint64)
-        h = (sums[k:] - sums[:-k]) * q[: len(b) - k + 1]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
+def _scramble(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
     return h
 
 
-def anchors(text: bytes, least: int = LEAST, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first, last): anchors of the windows that start at first..last."""
+def anchors(text: bytes, least: int = LEAST, k: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """(hash, segment hash, place, first, last): anchors of the windows that start at first..last, and the bytes of these windows hashed."""
     n = len(text)
     parts = []
     b = np.frombuffer(text, np.uint8)
+    p, q = _powers(CHUNK + 4 * LEAST)
     for at in range(0, max(0, n - least + 1), CHUNK):
-        h = _rolling(b[at : at + CHUNK + least - 1], k)
+        part = b[at : at + CHUNK + least - 1]
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * p[: len(part)], out=sums[1:], dtype=np.uint64)
+            h = _scramble((sums[k:] - sums[:-k]) * q[: len(part) - k + 1])
         # Position in the low bits: the leftmost of equal ones is taken.
         low = (h & _TOP) | np.arange(len(h), dtype=np.uint64)
         w = least - k + 1
@@ -82,10 +81,13 @@ def anchors(text: bytes, least: int = LEAST, k: int = ANCHOR) -> tuple[np.ndarra
         place = (low & _LOW).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         ends = np.r_[starts[1:], len(place)] - 1
-        parts.append((h[place[starts]], place[starts] + at, starts + at, ends + at))
+        anchor = place[starts]
+        with np.errstate(over="ignore"):
+            whole = (sums[ends + least] - sums[starts]) * q[starts] + (anchor - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (ends - starts).astype(np.uint64)
+            parts.append((h[anchor], _scramble(whole), anchor + at, starts + at, ends + at))
     if not parts:
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -207,45 +209,47 @@ def repeated_spans(rows: DataFrame, least: int = LEAST, k: int = ANCHOR, bucket_
                 if len(sent) > 200_000:
                     sent.clear()
                 sent[key] = did
-                h, place, lo, hi = anchors(text, least, k)
-                out.append((h.view(np.int64), np.full(len(h), did, np.int64), place << 16 | (place - lo) << 8 | (hi - lo)))
+                h, m, place, lo, hi = anchors(text, least, k)
+                out.append((h.view(np.int64), m.view(np.int64), np.full(len(h), did, np.int64), place << 16 | (place - lo) << 8 | (hi - lo)))
                 size += len(h)
                 if size > 50_000:
-                    yield pd.DataFrame(dict(zip(("h", "did", "at"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                    yield frame(out)
                     out, size = [], 0
             if size:
-                yield pd.DataFrame(dict(zip(("h", "did", "at"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    found = rows.where(F.length("text") >= least).mapInPandas(find, "h long, did long, at long")
-    again = found.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1")
-    lists = again.groupBy("did").agg(F.collect_list(F.struct("h", "at")).alias("a"))
+                yield frame(out)
+
+    def frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("h", "m", "did", "at"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+    found = rows.where(F.length("text") >= least).mapInPandas(find, "h long, m long, did long, at long")
+    # One exchange: anchors that occur once go; of segments with equal anchor and bytes (128 bits of hash) the first stays.
+    same = Window.partitionBy("h")
+    found = found.select(
+        "h", "did", "at", F.count("*").over(same).alias("c"), (F.min("m").over(same) != F.max("m").over(same)).alias("mixed"),
+        F.row_number().over(Window.partitionBy("h", "m").orderBy("did", "at")).alias("nth"),
+    ).where("c > 1 and (mixed or nth > 1)")
+    marks = table(found.select(F.when(F.col("nth") == 1, F.col("h")).alias("h"), "did", "at"))
+    low = F.shiftright("at", 16) - F.shiftright("at", 8).bitwiseAND(F.lit(255))
+    equal = marks.where("h is null").select("did", low.alias("lo"), (low + F.col("at").bitwiseAND(F.lit(255)) + least).alias("hi"))
+    lists = marks.where("h is not null").groupBy("did").agg(F.collect_list(F.struct("h", "at")).alias("a"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Segments; of equal ones in a batch only the first is sent with its bytes."""
+        """First segments of anchors that have several."""
         for batch in batches:
-            rows, seen = [], {}
-            for did, text, marks in batch.sort_values("did")[["did", "text", "a"]].itertuples(index=False):
-                for m in sorted(marks, key=lambda m: m["at"]):
-                    place, before, n = m["at"] >> 16, m["at"] >> 8 & 255, m["at"] & 255
-                    lo = place - before
-                    piece = text[lo : lo + n + least]
-                    key = (m["h"], before, piece)
-                    if key in seen:
-                        rows.append((None, None, None, did, lo, lo + len(piece)))
-                    else:
-                        seen[key] = True
-                        rows.append((m["h"], hashlib.blake2b(piece + bytes([before]), digest_size=16).digest(), piece, did, lo, lo + len(piece)))
-            yield pd.DataFrame(rows, columns=["h", "m", "piece", "did", "lo", "hi"]).astype({"h": "Int64"})
-
-    pieces = rows.join(lists, "did").select("did", "text", "a").mapInPandas(cut, "h long, m binary, piece binary, did long, lo long, hi long")
-    w = Window.partitionBy("h", "m").orderBy("did", "lo")
-    pieces = table(pieces.withColumn("nth", F.when(F.col("h").isNull(), 2).otherwise(F.row_number().over(w))))
-    equal = pieces.where("nth > 1").select("did", "lo", "hi")
-    one = pieces.where("nth = 1")
-    counted = one.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+            for at in range(0, len(batch), 200):
+                rows = []
+                for did, text, marks in batch[["did", "text", "a"]].iloc[at : at + 200].itertuples(index=False):
+                    for m in marks:
+                        lo = (m["at"] >> 16) - (m["at"] >> 8 & 255)
+                        rows.append((m["h"], text[lo : lo + (m["at"] & 255) + least], did, lo))
+                yield pd.DataFrame(rows, columns=["h", "piece", "did", "lo"])
+
+    one = rows.join(lists, "did").select("did", "text", "a").mapInPandas(cut, "h long, piece binary, did long, lo long")
+    counted = marks.where("h is not null").groupBy("h").agg(F.count("*").alias("c"))
     total = counted.agg(F.sum("c")).first()[0] or 0
     buckets = max(1, -(-total // bucket_segments))
     mixed = one.join(counted, "h").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    mixed = table(mixed)
 
     def expand(g: pd.DataFrame) -> pd.DataFrame:
         starts = repeated_starts(list(g["piece"]), list(zip(g["did"], g["lo"], strict=True)), least)
