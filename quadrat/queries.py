@@ -1,13 +1,246 @@
-"""Registered queries over the canonical cube."""
+"""Registered queries over the canonical cube, each with the SQL that states the same."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadrat import cube
+from quadrat.functions import stats
+from quadrat.operators import cluster, conditions, indices, phylo, randomise
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_OCC = """WITH occ AS (
+  SELECT CAST(floor(l_suppkey / 5) AS BIGINT) || ':' || CAST(floor(((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1) / 6) AS BIGINT) AS grp,
+    p_brand || ':' || p_type AS label, sum(l_quantity) AS n
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+_GROUPS = _OCC + """, gps AS (
+  SELECT grp, CAST(split_part(grp, ':', 1) AS BIGINT) AS x, CAST(split_part(grp, ':', 2) AS BIGINT) AS y, count(*) AS richness, sum(n) AS samples,
+    1 - count(*) / sum(n) AS redundancy FROM occ GROUP BY 1, 2, 3)"""
+_NBRS = _GROUPS + """, nbrs AS (
+  SELECT c.grp AS proc, b.grp AS grp, CASE WHEN c.grp = b.grp THEN 1 ELSE 2 END AS s FROM gps c JOIN gps b
+    ON abs(c.x - b.x) + abs(c.y - b.y) <= 1)"""
+_LABELS = ", labs AS (SELECT label, count(*) AS r, sum(n) AS a FROM occ GROUP BY 1)"
+_ABC = _NBRS + _LABELS + """, loc AS (
+  SELECT proc, label, count(*) FILTER (s = 1) AS g1, count(*) FILTER (s = 2) AS g2,
+    sum(CASE WHEN s = 1 THEN n ELSE 0 END) AS n1, sum(CASE WHEN s = 2 THEN n ELSE 0 END) AS n2 FROM nbrs JOIN occ USING (grp) GROUP BY 1, 2),
+  used AS (SELECT proc, count(*) FILTER (s = 1) AS e1, count(*) FILTER (s = 2) AS e2 FROM nbrs GROUP BY 1),
+  abc AS (SELECT loc.*, CAST(g1 > 0 AS INT) AS in1, CAST(g2 > 0 AS INT) AS in2, r, a, e1, e2, (SELECT count(DISTINCT label) FROM occ) AS total
+    FROM loc JOIN labs USING (label) JOIN used USING (proc))"""
+_TREE = """, paths AS (
+  SELECT p_brand || ':' || p_type AS tip, p_brand || ':' || p_type AS node, avg(p_size) AS len, 1 AS is_tip FROM part GROUP BY 1, 2
+  UNION ALL SELECT t.tip, t.node, b.len, 0 FROM (SELECT DISTINCT p_brand || ':' || p_type AS tip, p_brand AS node FROM part) t
+    JOIN (SELECT p_brand AS node, avg(p_retailprice) / 1000 AS len FROM part GROUP BY 1) b ON t.node = b.node
+  UNION ALL SELECT DISTINCT p_brand || ':' || p_type, 'root', 0e0, 0 FROM part),
+  kept AS (SELECT * FROM paths WHERE tip IN (SELECT label FROM occ)),
+  nodes AS (SELECT node, max(len) AS len, max(is_tip) AS is_tip FROM kept GROUP BY 1),
+  eqs AS (SELECT nodes.*, CASE WHEN len <> 0 THEN (SELECT avg(len) FROM nodes WHERE len <> 0) ELSE 0 END AS eq FROM nodes),
+  nrange AS (SELECT node, count(DISTINCT grp) AS r FROM occ JOIN kept ON label = tip GROUP BY 1)"""
+
+
+def register(name: str, sql: str | None = None):
+    def wrap(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return wrap
+
+
+def base_cube(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    occ = cube.canonical(spark, sf_dir)
+    return occ, conditions.two_sets(cube.groups(occ), conditions.self_only(), conditions.circle(1))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_suppkey").count()
+    """Richness and weighted endemism of each group by itself."""
+    occ = cube.canonical(spark, sf_dir)
+    nbrs = conditions.two_sets(cube.groups(occ), conditions.self_only())
+    return indices.calculate(occ, nbrs, ["calc_richness", "calc_endemism_whole"])
 
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+def _rounded(formulas: dict[str, str]) -> str:
+    return ", ".join(f"round(CAST({e} AS DOUBLE), 8) AS {i}" for i, e in formulas.items())
+
+
+def _summed(aggregates: dict[str, str], rows: str) -> str:
+    return f", agg AS (SELECT proc, {', '.join(f'{e} AS {a}' for a, e in aggregates.items())} FROM {rows} GROUP BY proc)"
+
+
+for _name, _formulas in indices.CALCULATIONS.items():
+    register(_name, f"{_ABC}{_summed(indices.AGGREGATES, 'abc')} SELECT proc, {_rounded(_formulas)} FROM agg")(
+        lambda spark, sf_dir, name=_name: indices.calculate(*base_cube(spark, sf_dir), [name])
+    )
+
+_PHYLO = f"""{_NBRS}{_TREE}, byg AS (SELECT proc, node, grp, s, sum(n) AS n FROM nbrs JOIN occ USING (grp) JOIN kept ON label = tip GROUP BY 1, 2, 3, 4),
+  pn AS (SELECT proc, node, count(*) FILTER (s = 1) AS k1, count(*) FILTER (s = 2) AS k2, sum(n) AS n FROM byg GROUP BY 1, 2),
+  pr AS (SELECT pn.*, len, eq, is_tip, r, (SELECT sum(len) FROM eqs) AS tree, (SELECT sum(eq) FROM eqs) AS tree_eq, (SELECT sum(is_tip) FROM eqs) AS n_tips
+    FROM pn JOIN eqs USING (node) JOIN nrange USING (node)){_summed(phylo.AGGREGATES, 'pr')}"""
+for _name, _formulas in phylo.CALCULATIONS.items():
+    register(_name, f"{_PHYLO} SELECT proc, {_rounded(_formulas)} FROM agg")(
+        lambda spark, sf_dir, name=_name: phylo.calculate(*base_cube(spark, sf_dir), phylo.label_tree(spark, sf_dir), 2, [name])
+    )
+
+
+@register("sp_calc_flagship", f"{_OCC}{_LABELS} SELECT grp AS proc, CAST(count(*) AS DOUBLE) AS RICHNESS_ALL, CAST(count(*) AS DOUBLE) AS RICHNESS_SET1, CAST(0 AS DOUBLE) AS RICHNESS_SET2, round(sum(1e0 / r), 8) AS ENDW_WE, round(sum(1e0 / r) / count(*), 8) AS ENDW_CWE, CAST(count(*) AS DOUBLE) AS ENDW_RICHNESS, round(sum(1e0 / r), 8) AS ENDW_SINGLE FROM occ JOIN labs USING (label) GROUP BY 1")
+def sp_calc_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
+
+
+# ---- spatial conditions: how many neighbours each group has
+
+_CONDITIONS = {
+    "sp_circle": (conditions.circle(2.5), "sqrt((c.x - b.x) * (c.x - b.x) + (c.y - b.y) * (c.y - b.y)) <= 2.5"),
+    "sp_annulus": (conditions.annulus(1.5, 3), "sqrt((c.x - b.x) * (c.x - b.x) + (c.y - b.y) * (c.y - b.y)) BETWEEN 1.5 AND 3"),
+    "sp_rectangle": (conditions.rectangle(4, 2), "abs(c.x - b.x) <= 2 AND abs(c.y - b.y) <= 1"),
+    "sp_square": (conditions.square(3), "abs(c.x - b.x) <= 1.5 AND abs(c.y - b.y) <= 1.5"),
+    "sp_ellipse": (conditions.ellipse(4, 2, math.pi / 2), "round((c.y - b.y) * (c.y - b.y) / 16.0 + (c.x - b.x) * (c.x - b.x) / 4.0, 10) <= 1"),
+    "sp_block": (conditions.block(3), "floor(c.x / 3) = floor(b.x / 3) AND floor(c.y / 3) = floor(b.y / 3)"),
+    "sp_self_only": (conditions.self_only(), "c.grp = b.grp"),
+    "sp_select_all": (conditions.select_all(), "true"),
+    "sp_select_element": (conditions.select_element("1:0"), "b.grp = '1:0'"),
+    "sp_is_left_of": (conditions.left_of(), "b.x < c.x"),
+    "sp_is_right_of": (conditions.right_of(), "b.x > c.x"),
+    "sp_in_line_with": (conditions.in_line_with(), "b.x = c.x"),
+    "sp_match_text": (conditions.match_text("2", 0), "split_part(b.grp, ':', 1) = '2'"),
+    "sp_match_regex": (conditions.match_regex("^1"), "regexp_matches(b.grp, '^1')"),
+    "sp_group_not_empty": (conditions.not_empty(), "b.richness > 0"),
+    "sp_richness_greater_than": (conditions.richness_greater_than(100), "b.richness > 100"),
+    "sp_redundancy_greater_than": (conditions.redundancy_greater_than(0.96), "b.redundancy > 0.96"),
+    "sp_point_in_poly": (conditions.in_polygon([(-0.5, -5.5), (3.5, -5.5), (3.5, 2.5)]), "b.x > -0.5 AND b.x < 3.5 AND b.y > -5.5 AND b.y + 5.5 < 2e0 * (b.x + 0.5)"),
+    "sp_condition_and_not": (conditions.circle(3) & ~conditions.circle(1), "sqrt((c.x - b.x) * (c.x - b.x) + (c.y - b.y) * (c.y - b.y)) <= 3 AND NOT sqrt((c.x - b.x) * (c.x - b.x) + (c.y - b.y) * (c.y - b.y)) <= 1"),
+}
+for _name, (_condition, _sql) in _CONDITIONS.items():
+    register(_name, f"{_GROUPS} SELECT c.grp AS proc, count(*) AS n_nbrs FROM gps c JOIN gps b ON {_sql} GROUP BY 1")(
+        lambda spark, sf_dir, c=_condition: conditions.neighbours(cube.groups(cube.canonical(spark, sf_dir)), c).groupBy("proc").agg(F.count("*").alias("n_nbrs"))
+    )
+
+
+@register("sp_select_sequence", f"{_GROUPS} SELECT grp FROM (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS i FROM gps) WHERE i % 4 = 0")
+def sp_select_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conditions.sequence(cube.groups(cube.canonical(spark, sf_dir)), 4)
+
+
+@register("sp_select_block", f"{_GROUPS} SELECT grp FROM (SELECT grp, row_number() OVER (PARTITION BY floor(x / 3), floor(y / 3) ORDER BY grp) AS i FROM gps) WHERE i <= 2")
+def sp_select_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conditions.first_of_blocks(cube.groups(cube.canonical(spark, sf_dir)), 3, 2)
+
+
+# ---- the cube
+
+
+def _cube_query(name: str, sql: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    register(name, f"{_OCC} {sql}")(lambda spark, sf_dir: f(cube.canonical(spark, sf_dir)))
+
+
+_cube_query("import_data", "SELECT grp, label, n FROM occ", lambda occ: occ)
+_cube_query("transpose", "SELECT label AS grp, grp AS label, n FROM occ", cube.transpose)
+_cube_query("drop_element_axis", "SELECT grp, split_part(label, ':', 1) AS label, sum(n) AS n FROM occ GROUP BY 1, 2", lambda occ: cube.drop_axis(occ, "label", 1))
+_cube_query("new_with_reordered_element_axes", "SELECT split_part(grp, ':', 2) || ':' || split_part(grp, ':', 1) AS grp, label, n FROM occ", lambda occ: cube.reorder_axes(occ, "grp", [1, 0]))
+_cube_query("clone_with_reduced_resolution", "SELECT CAST(floor(CAST(split_part(grp, ':', 1) AS BIGINT) / 2) AS BIGINT) || ':' || CAST(floor(CAST(split_part(grp, ':', 2) AS BIGINT) / 3) AS BIGINT) AS grp, label, sum(n) AS n FROM occ GROUP BY 1, 2", lambda occ: cube.coarsen(occ, [2, 3]))
+_cube_query("binarise_sample_counts", "SELECT grp, label, 1e0 AS n FROM occ", cube.binarise)
+_cube_query("merge", "SELECT grp, label, 2 * n AS n FROM occ", lambda occ: cube.merge(occ, occ))
+_cube_query("rename_label", "SELECT grp, CASE WHEN label LIKE 'Brand#1%' THEN 'one' ELSE label END AS label, sum(n) AS n FROM occ GROUP BY 1, 2", lambda occ: cube.rename(occ, "label", occ.where("label like 'Brand#1%'").select(F.col("label").alias("old"), F.lit("one").alias("new")).distinct()))
+_cube_query("trim", "SELECT grp, label, n FROM occ WHERE label LIKE '%1%'", lambda occ: cube.trim(occ, occ.where("label like '%1%'")))
+_cube_query("run_exclusions", "SELECT grp, label, n FROM occ WHERE label NOT IN (SELECT label FROM occ GROUP BY 1 HAVING sum(n) <= 3000 OR label LIKE '%#3%')", lambda occ: cube.exclude(occ, "label", min_samples=3000, regex="#3"))
+_cube_query("get_base_stats", "SELECT grp, count(*) AS richness, sum(n) AS samples, round(1 - count(*) / sum(n), 8) AS redundancy FROM occ GROUP BY 1", lambda occ: cube.groups(occ).select("grp", "richness", "samples", F.round("redundancy", 8).alias("redundancy")))
+_cube_query("get_range_and_abundance", "SELECT label, count(*) AS range, sum(n) AS abundance FROM occ GROUP BY 1", cube.labels)
+_cube_query("get_range_union", "SELECT DISTINCT grp FROM occ WHERE label LIKE '%#11%'", lambda occ: cube.range_union(occ, occ.where("label like '%#11%'")))
+_cube_query("get_range_intersection", "SELECT grp FROM occ WHERE label LIKE '%#11%' GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT label) FROM occ WHERE label LIKE '%#11%')", lambda occ: cube.range_intersection(occ, occ.where("label like '%#11%'")))
+_cube_query("get_coord_bounds", "SELECT CAST(0 AS INT) AS axis, min(CAST(split_part(grp, ':', 1) AS DOUBLE)) AS low, max(CAST(split_part(grp, ':', 1) AS DOUBLE)) AS high FROM occ UNION ALL SELECT 1, min(CAST(split_part(grp, ':', 2) AS DOUBLE)), max(CAST(split_part(grp, ':', 2) AS DOUBLE)) FROM occ", cube.coordinate_bounds)
+_cube_query("statistics", "SELECT grp, round(avg(n), 8) AS mean, round(coalesce(stddev_samp(n), 0), 8) AS sd, round(skewness(n), 6) AS skew, round(kurtosis(n), 6) AS kurt, list_extract(list(n ORDER BY n), CAST(floor(0.5 + (count(*) - 1) * 0.05) AS BIGINT) + 1) AS pct05, list_extract(list(n ORDER BY n), CAST(floor(0.5 + (count(*) - 1) * 0.75) AS BIGINT) + 1) AS pct75 FROM occ GROUP BY 1", lambda occ: occ.groupBy("grp").agg(F.round(F.avg("n"), 8).alias("mean"), F.round(stats.sd(F.col("n")), 8).alias("sd"), F.round(stats.skewness(F.col("n")), 6).alias("skew"), F.round(stats.kurtosis(F.col("n")), 6).alias("kurt"), stats.percentile(F.col("n"), 5).alias("pct05"), stats.percentile(F.col("n"), 75).alias("pct75")))
+
+
+# ---- numeric labels: label p_size, weight the quantity; groups as above
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, part = cube.table(spark, sf_dir, "lineitem"), cube.table(spark, sf_dir, "part")
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return cube.from_records(rows, [cube.bin_index(F.col("l_suppkey"), 5)], [F.col("p_size")], F.col("l_quantity")).select("grp", F.col("label").cast("double").alias("v"), F.col("n").alias("w"))
+
+
+_SIZES = "WITH z AS (SELECT CAST(CAST(floor(l_suppkey / 5) AS BIGINT) AS VARCHAR) AS grp, CAST(p_size AS DOUBLE) AS v, sum(l_quantity) AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
+_MOMENTS = "sum(w) AS n, sum(v * w) / sum(w) AS m, sum(v * v * w) AS q, min(v) AS lo, max(v) AS hi, sum(w / v) AS h, sum(w * ln(v)) AS g"
+_NUMERIC = {"NUM_N": "n", "NUM_MEAN": "m", "NUM_SD": "sqrt((q - n * m * m) / nullif(n - 1, 0))", "NUM_MIN": "lo", "NUM_MAX": "hi", "NUM_RANGE": "hi - lo", "NUM_CV": "sqrt((q - n * m * m) / nullif(n - 1, 0)) / nullif(m, 0)", "NUM_HMEAN": "n / nullif(h, 0)", "NUM_GMEAN": "exp(g / nullif(n, 0))"}
+
+
+@register("calc_numeric_label_stats", f"{_SIZES}, s AS (SELECT grp, {_MOMENTS} FROM z GROUP BY 1) SELECT grp, {', '.join(f'round({e}, 6) AS {i}' for i, e in _NUMERIC.items())} FROM s")
+def calc_numeric_label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moments = [F.expr(e) for e in _MOMENTS.split(", ")]
+    s = _sizes(spark, sf_dir).groupBy("grp").agg(*moments)
+    return s.select("grp", *[F.round(F.expr(e), 6).alias(i) for i, e in _NUMERIC.items()])
+
+
+@register("calc_num_labels_gistar", f"{_SIZES}, t AS (SELECT sum(w) AS n, sum(v * w) / sum(w) AS m, sqrt((sum(v * v * w) - sum(v * w) * sum(v * w) / sum(w)) / (sum(w) - 1)) AS sd FROM z) SELECT grp, round((sum(v * w) - sum(w) * max(m)) / (max(sd) * sqrt((max(n) * sum(w) - sum(w) * sum(w)) / (max(n) - 1))), 6) AS NUM_GISTAR FROM z, t GROUP BY 1")
+def calc_num_labels_gistar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = _sizes(spark, sf_dir)
+    t = z.agg(F.sum("w").alias("n"), F.expr("sum(v * w) / sum(w)").alias("m"), F.expr("sqrt((sum(v * v * w) - sum(v * w) * sum(v * w) / sum(w)) / (sum(w) - 1))").alias("sd"))
+    local = z.groupBy("grp").agg(F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("w").alias("k")).crossJoin(F.broadcast(t))
+    return local.select("grp", F.round(stats.gistar(F.col("s"), F.col("k"), F.col("m"), F.col("sd"), F.col("n")), 6).alias("NUM_GISTAR"))
+
+
+@register("calc_iei_stats", "WITH e AS (SELECT user_id, floor(value) AS v FROM events WHERE value IS NOT NULL), d AS (SELECT user_id, v - lag(v) OVER (PARTITION BY user_id ORDER BY v) AS i FROM e) SELECT user_id, count(i) AS IEI_N, round(avg(i), 6) AS IEI_MEAN, round(coalesce(stddev_samp(i), 0), 6) AS IEI_SD, min(i) AS IEI_MIN, max(i) AS IEI_MAX FROM d WHERE i IS NOT NULL GROUP BY 1")
+def calc_iei_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals between the sorted numeric labels of a group; repeated labels add intervals of 0."""
+    from pyspark.sql import Window
+
+    e = cube.table(spark, sf_dir, "events").where("value is not null").select("user_id", F.floor("value").cast("double").alias("v"))
+    d = e.select("user_id", (F.col("v") - F.lag("v").over(Window.partitionBy("user_id").orderBy("v"))).alias("i")).where("i is not null")
+    return d.groupBy("user_id").agg(F.count("i").alias("IEI_N"), F.round(F.avg("i"), 6).alias("IEI_MEAN"), F.round(stats.sd(F.col("i")), 6).alias("IEI_SD"), F.min("i").alias("IEI_MIN"), F.max("i").alias("IEI_MAX"))
+
+
+# ---- matrices, trees, clusters
+
+for _index, _sql in (("SORENSON", "1 - 2e0 * a / (v1 + v2)"), ("JACCARD", "1 - 1e0 * a / (v1 + v2 - a)"), ("S2", "1 - 1e0 * a / least(v1, v2)")):
+    register(
+        f"build_matrix_{_index.lower()}",
+        f"{_OCC}, v AS (SELECT grp, count(*) AS v FROM occ GROUP BY 1), p AS (SELECT p.grp AS e1, q.grp AS e2, p.v AS v1, q.v AS v2, (SELECT count(*) FROM occ x JOIN occ y ON x.label = y.label WHERE x.grp = p.grp AND y.grp = q.grp) AS a FROM v p JOIN v q ON p.grp < q.grp) SELECT e1, e2, round({_sql}, 8) AS value FROM p",
+    )(lambda spark, sf_dir, index=_index: cluster.pair_matrix(cube.canonical(spark, sf_dir), index))
+
+
+@register("get_node_range_hash", f"{_OCC}{_TREE} SELECT node, r AS range FROM nrange")
+def get_node_range_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    occ = cube.canonical(spark, sf_dir)
+    return phylo.node_ranges(occ, phylo.trimmed(phylo.closure(phylo.label_tree(spark, sf_dir), 2), occ))
+
+
+@register("tree_to_matrix", "WITH t AS (SELECT p_brand || ':' || p_type AS tip, p_brand AS b, avg(p_size) AS len FROM part GROUP BY 1, 2), g AS (SELECT p_brand AS b, avg(p_retailprice) / 1000 AS len FROM part GROUP BY 1) SELECT x.tip AS a, y.tip AS b, round(x.len + y.len + CASE WHEN x.b = y.b THEN 0 ELSE gx.len + gy.len END, 6) AS distance FROM t x JOIN t y ON x.tip < y.tip JOIN g gx ON gx.b = x.b JOIN g gy ON gy.b = y.b")
+def tree_to_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phylo.patristic(phylo.closure(phylo.label_tree(spark, sf_dir), 2)).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+@register("cluster")
+def cluster_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.agglomerate(cluster.pair_matrix(cube.canonical(spark, sf_dir)))
+
+
+@register("group_nodes_below")
+def group_nodes_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.cut(cluster_query(spark, sf_dir), 5)
+
+
+# ---- randomisation: results depend on hashes and seeds, so tests check what must stay
+
+
+def _random(model: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        occ = cube.canonical(spark, sf_dir)
+        made = model(occ, 3)
+        base = occ.join(cube.labels(occ).select("label", "range"), "label").groupBy(F.col("grp").alias("proc")).agg(F.count("*").cast("double").alias("RICHNESS"), F.sum(1 / F.col("range")).alias("WE"))
+        ranges = made.groupBy("iter", "label").agg(F.count("*").alias("range"))
+        drawn = made.join(ranges, ["iter", "label"]).groupBy("iter", F.col("grp").alias("proc")).agg(F.count("*").cast("double").alias("RICHNESS"), F.sum(1 / F.col("range")).alias("WE"))
+        out = randomise.compare(base, drawn, ["RICHNESS", "WE"])
+        return out.select("proc", "idx", "C", "T", "Q", "P", randomise.p_rank().alias("rank"), randomise.z_score().alias("z"), randomise.significance().alias("significance"))
+
+    return run
+
+
+for _name, _model in (("rand_csr_by_group", randomise.csr_by_group), ("rand_curveball", randomise.curveball), ("rand_independent_swaps", randomise.independent_swaps), ("rand_structured", randomise.structured)):
+    register(_name)(_random(_model))
