@@ -99,7 +99,7 @@ CALCULATIONS: dict[str, dict[str, str]] = {
 
 def calculate(occ: DataFrame, nbrs: DataFrame, nodes: DataFrame, depth: int, names: Sequence[str], digits: int = 8) -> DataFrame:
     """(proc, indices...) over the tree trimmed to the cube's labels."""
-    paths = trimmed(closure(nodes, depth), occ)
+    paths = trimmed(closure(nodes, depth), occ).persist()
     kept = nodes.join(paths.select("node").distinct(), "node", "left_semi")
     tips = paths.where("steps = 0").select("node", F.lit(1).alias("is_tip"))
     known = equalised(kept).select("node", F.col("length").alias("eq")).join(kept.select("node", F.col("length").alias("len")), "node").join(tips, "node", "left").withColumn("is_tip", F.coalesce("is_tip", F.lit(0)))

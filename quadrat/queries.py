@@ -53,9 +53,22 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+def _shared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The cube, its neighbour sets and the tree, which every index reads several times: kept, and recomputed where a kept part is lost."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        occ = cube.canonical(spark, sf_dir).persist()
+        nbrs = conditions.two_sets(cube.groups(occ), conditions.self_only(), conditions.circle(1)).persist()
+        _KEPT.clear()
+        _KEPT[key] = occ, nbrs, phylo.label_tree(spark, sf_dir).persist()
+    return _KEPT[key]
+
+
+_KEPT: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+
 def base_cube(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    occ = cube.canonical(spark, sf_dir)
-    return occ, conditions.two_sets(cube.groups(occ), conditions.self_only(), conditions.circle(1))
+    return _shared(spark, sf_dir)[:2]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +97,7 @@ _PHYLO = f"""{_NBRS}{_TREE}, byg AS (SELECT proc, node, grp, s, sum(n) AS n FROM
     FROM pn JOIN eqs USING (node) JOIN nrange USING (node)){_summed(phylo.AGGREGATES, 'pr')}"""
 for _name, _formulas in phylo.CALCULATIONS.items():
     register(_name, f"{_PHYLO} SELECT proc, {_rounded(_formulas)} FROM agg")(
-        lambda spark, sf_dir, name=_name: phylo.calculate(*base_cube(spark, sf_dir), phylo.label_tree(spark, sf_dir), 2, [name])
+        lambda spark, sf_dir, name=_name: phylo.calculate(*base_cube(spark, sf_dir), _shared(spark, sf_dir)[2], 2, [name])
     )
 
 
@@ -118,25 +131,25 @@ _CONDITIONS = {
 }
 for _name, (_condition, _sql) in _CONDITIONS.items():
     register(_name, f"{_GROUPS} SELECT c.grp AS proc, count(*) AS n_nbrs FROM gps c JOIN gps b ON {_sql} GROUP BY 1")(
-        lambda spark, sf_dir, c=_condition: conditions.neighbours(cube.groups(cube.canonical(spark, sf_dir)), c).groupBy("proc").agg(F.count("*").alias("n_nbrs"))
+        lambda spark, sf_dir, c=_condition: conditions.neighbours(cube.groups(_shared(spark, sf_dir)[0]), c).groupBy("proc").agg(F.count("*").alias("n_nbrs"))
     )
 
 
 @register("sp_select_sequence", f"{_GROUPS} SELECT grp FROM (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS i FROM gps) WHERE i % 4 = 0")
 def sp_select_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conditions.sequence(cube.groups(cube.canonical(spark, sf_dir)), 4)
+    return conditions.sequence(cube.groups(_shared(spark, sf_dir)[0]), 4)
 
 
 @register("sp_select_block", f"{_GROUPS} SELECT grp FROM (SELECT grp, row_number() OVER (PARTITION BY floor(x / 3), floor(y / 3) ORDER BY grp) AS i FROM gps) WHERE i <= 2")
 def sp_select_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conditions.first_of_blocks(cube.groups(cube.canonical(spark, sf_dir)), 3, 2)
+    return conditions.first_of_blocks(cube.groups(_shared(spark, sf_dir)[0]), 3, 2)
 
 
 # ---- the cube
 
 
 def _cube_query(name: str, sql: str, f: Callable[[DataFrame], DataFrame]) -> None:
-    register(name, f"{_OCC} {sql}")(lambda spark, sf_dir: f(cube.canonical(spark, sf_dir)))
+    register(name, f"{_OCC} {sql}")(lambda spark, sf_dir: f(_shared(spark, sf_dir)[0]))
 
 
 _cube_query("import_data", "SELECT grp, label, n FROM occ", lambda occ: occ)
@@ -202,23 +215,23 @@ for _index, _sql in (("SORENSON", "1 - 2e0 * a / (v1 + v2)"), ("JACCARD", "1 - 1
     register(
         f"build_matrix_{_index.lower()}",
         f"{_OCC}, v AS (SELECT grp, count(*) AS v FROM occ GROUP BY 1), p AS (SELECT p.grp AS e1, q.grp AS e2, p.v AS v1, q.v AS v2, (SELECT count(*) FROM occ x JOIN occ y ON x.label = y.label WHERE x.grp = p.grp AND y.grp = q.grp) AS a FROM v p JOIN v q ON p.grp < q.grp) SELECT e1, e2, round({_sql}, 8) AS value FROM p",
-    )(lambda spark, sf_dir, index=_index: cluster.pair_matrix(cube.canonical(spark, sf_dir), index))
+    )(lambda spark, sf_dir, index=_index: cluster.pair_matrix(_shared(spark, sf_dir)[0], index))
 
 
 @register("get_node_range_hash", f"{_OCC}{_TREE} SELECT node, r AS range FROM nrange")
 def get_node_range_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    occ = cube.canonical(spark, sf_dir)
-    return phylo.node_ranges(occ, phylo.trimmed(phylo.closure(phylo.label_tree(spark, sf_dir), 2), occ))
+    occ = _shared(spark, sf_dir)[0]
+    return phylo.node_ranges(occ, phylo.trimmed(phylo.closure(_shared(spark, sf_dir)[2], 2), occ))
 
 
-@register("tree_to_matrix", "WITH t AS (SELECT p_brand || ':' || p_type AS tip, p_brand AS b, avg(p_size) AS len FROM part GROUP BY 1, 2), g AS (SELECT p_brand AS b, avg(p_retailprice) / 1000 AS len FROM part GROUP BY 1) SELECT x.tip AS a, y.tip AS b, round(x.len + y.len + CASE WHEN x.b = y.b THEN 0 ELSE gx.len + gy.len END, 6) AS distance FROM t x JOIN t y ON x.tip < y.tip JOIN g gx ON gx.b = x.b JOIN g gy ON gy.b = y.b")
+@register("tree_to_matrix", "WITH t AS (SELECT p_brand || ':' || p_type AS tip, p_brand AS b, avg(p_size) AS len FROM part GROUP BY 1, 2), g AS (SELECT p_brand AS b, avg(p_retailprice) / 1000 AS len FROM part GROUP BY 1) SELECT x.tip AS a, y.tip AS b, round(x.len + y.len + CASE WHEN x.b = y.b THEN 0 ELSE gx.len + gy.len END, 9) AS distance FROM t x JOIN t y ON x.tip < y.tip JOIN g gx ON gx.b = x.b JOIN g gy ON gy.b = y.b")
 def tree_to_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phylo.patristic(phylo.closure(phylo.label_tree(spark, sf_dir), 2)).select("a", "b", F.round("distance", 6).alias("distance"))
+    return phylo.patristic(phylo.closure(_shared(spark, sf_dir)[2], 2)).select("a", "b", F.round("distance", 9).alias("distance"))
 
 
 @register("cluster")
 def cluster_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.agglomerate(cluster.pair_matrix(cube.canonical(spark, sf_dir)))
+    return cluster.agglomerate(cluster.pair_matrix(_shared(spark, sf_dir)[0]))
 
 
 @register("group_nodes_below")
@@ -231,7 +244,7 @@ def group_nodes_below(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _random(model: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        occ = cube.canonical(spark, sf_dir)
+        occ = _shared(spark, sf_dir)[0]
         made = model(occ, 3)
         base = occ.join(cube.labels(occ).select("label", "range"), "label").groupBy(F.col("grp").alias("proc")).agg(F.count("*").cast("double").alias("RICHNESS"), F.sum(1 / F.col("range")).alias("WE"))
         ranges = made.groupBy("iter", "label").agg(F.count("*").alias("range"))
