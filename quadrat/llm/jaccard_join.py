@@ -7,7 +7,8 @@ in at most k features.  The feature domain is hashed into n1 parts; in one of
 them the two differ in at most k2 = ceil((k + 1) / n1) - 1 features, so if the
 part is cut into n2 > k2 smaller ones, n2 - k2 of these hold the same features
 in both.  A signature hashes a part, a choice of n2 - k2 smaller parts and the
-features in them: sufficiently similar sets share one.
+features in them: sufficiently similar sets share one.  Sets are known by 64
+bits of a hash of their features.
 
 Sets that share signatures, directly or through others, form a family.  A
 family's links are found inside one kernel that takes its sets once: histograms
@@ -22,8 +23,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -76,12 +75,21 @@ def shingle_sets(batch: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def set_id(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def set_id(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 class PartEnum:
-    """Signatures of sets for a Jaccard similarity of num / 100 or more."""
+    """Signatures of sets for a Jaccard similarity of num / 100 or more.
+
+    With k2 = 1 and n2 = 2 the choices of n2 - k2 smaller parts are the smaller
+    parts themselves, n1 * n2 cells in all, of which k differences spoil k at
+    most.  There are more cells than k + 1, and a set leaves out those with
+    fewer than c features, whose signatures say little, for the largest c at
+    which more cells remain than can be spoilt.  Of two similar sets the one
+    with the larger c has an unspoilt cell that it sends, and the other sends
+    it too.
+    """
 
     def __init__(self, num: int):
         self.num = num
@@ -90,42 +98,28 @@ class PartEnum:
         while self.tops[-1] < 1 << 31:
             self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * 100 // num))
         self.tops_array = np.array(self.tops)
-
-    @lru_cache(maxsize=4096)  # noqa: B019 - one entry a band
-    def shape(self, top: int) -> tuple[int, int, int, list[tuple[int, ...]]]:
-        """(n1, n2, k2, choices) for a band whose sets have `top` features at most and one more band below.
-
-        Parts get about 14 features at 90 per cent and 20 at less, so signatures
-        of sets that are not similar seldom agree.
-        """
-        k = 2 * top * (100 - self.num) // (100 + self.num)
-        if k == 0:
-            return 1, 1, 0, [(0,)]
-        k2 = min(k, 2 if self.num >= 85 else 3)
-        n1 = -(-(k + 1) // (k2 + 1))
-        k2 = -(-(k + 1) // n1) - 1
-        n2 = k2 + 2 if k2 < 3 else k2 + 3
-        return n1, n2, k2, list(combinations(range(n2), n2 - k2))
+        self.spare = 1.15 if num >= 85 else 1.3
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         if not len(s):
             return np.empty(0, np.uint64)
         band = int(np.searchsorted(self.tops_array, len(s)))
-        return np.unique(np.concatenate([self._in_band(s, b) for b in (band, band + 1)]))
+        return np.concatenate([self._in_band(s, b) for b in (band, band + 1)])
 
     def _in_band(self, s: np.ndarray, band: int) -> np.ndarray:
-        n1, n2, k2, choices = self.shape(self.tops[band])
+        k = 2 * self.tops[band] * (100 - self.num) // (100 + self.num)
+        cells = 1 if k == 0 else 2 * math.ceil((k + 1) * self.spare / 2)
         with np.errstate(over="ignore"):
-            cell = ((s >> np.uint64(33)) % np.uint64(n1 * n2)).astype(np.int64)
-            order = np.argsort(cell, kind="stable")
-            cells, values = cell[order], mix64(s[order] + _MIX)
-            sums = np.zeros(n1 * n2, np.uint64)
-            starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-            sums[cells[starts]] = np.add.reduceat(values, starts)
-            sums = sums.reshape(n1, n2)
-            part = np.arange(n1, dtype=np.uint64)
-            out = [mix64(sums[:, c].sum(1, dtype=np.uint64) + mix64(part * np.uint64(4096) + np.uint64(i + 1) + np.uint64(band) * _MIX)) for i, c in enumerate(choices)]
-        return np.concatenate(out)
+            # Sets come sorted, and a cell is a range of scrambled hashes, so a cell's features follow each other.
+            cell = ((s >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+            size = np.bincount(cell, minlength=cells)
+            c = next((c for c in (4, 3, 2, 1) if cells - k > (size < c).sum()), 0)
+            sent = np.flatnonzero(size >= c)
+            total = np.zeros(len(s) + 1, np.uint64)
+            np.cumsum(mix64(s + _MIX), out=total[1:])
+            end = np.cumsum(size)
+            content = total[end[sent]] - total[end[sent] - size[sent]]
+            return mix64(content + mix64(sent.astype(np.uint64) * np.uint64(4096) + np.uint64(band + 1) * _MIX))
 
 
 def _similar(a: np.ndarray, b: np.ndarray, num: int) -> bool:
@@ -133,7 +127,7 @@ def _similar(a: np.ndarray, b: np.ndarray, num: int) -> bool:
     return 100 * both >= num * (len(a) + len(b) - both)
 
 
-def spanning_links(ids: list[bytes], sets: list[np.ndarray], num: int, side: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
+def spanning_links(ids: list[int], sets: list[np.ndarray], num: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that span the components of the sets' similarity graph; with side, only links between its two values are looked for."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
     sizes = np.array([len(sets[i]) for i in order])
@@ -190,9 +184,9 @@ def _base(docs: DataFrame, k: int, num: int) -> DataFrame:
                         sent.add(sid)
                         sigs = made.signatures(s).view(np.int64)
                     rows.append((doc_id, len(s), sid, sigs))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "sid", "sigs"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "sid", "sigs"]).astype({"doc_id": "Int64", "sid": "Int64"})
 
-    return texts(docs).mapInPandas(run, "doc_id long, n_shingles long, sid binary, sigs array<long>")
+    return texts(docs).mapInPandas(run, "doc_id long, n_shingles long, sid long, sigs array<long>")
 
 
 def similar_sets(docs: DataFrame, k: int, num: int, family_rows: int = FAMILY_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -224,18 +218,18 @@ def similar_sets(docs: DataFrame, k: int, num: int, family_rows: int = FAMILY_RO
             for at in range(0, len(batch), 400):
                 part = batch.iloc[at : at + 400]
                 sets = shingle_sets(list(part["text"]), k)
-                yield pd.DataFrame({"own": [set_id(s) if len(s) else None for s in sets], "shingles": [s.tobytes() for s in sets]})
+                yield pd.DataFrame({"own": [set_id(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
-    sets = text.mapInPandas(to_sets, "own binary, shingles binary").dropDuplicates(["own"])
+    sets = text.mapInPandas(to_sets, "own long, shingles binary").dropDuplicates(["own"])
     members = needed.drop("doc_id").join(sets, needed["sid"] == sets["own"]).drop("own")
 
     def kernel(g: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(b, np.uint64) for b in g["shingles"]]
         two = g["b1"].iloc[0] != g["b2"].iloc[0]
         links = spanning_links(list(g["sid"]), sets, num, g["mine"].to_numpy() if two else None)
-        return pd.DataFrame(links, columns=["a", "b"])
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    links = members.groupBy("family", "b1", "b2").applyInPandas(kernel, "a binary, b binary")
+    links = members.groupBy("family", "b1", "b2").applyInPandas(kernel, "a long, b long")
     linked = connected_components(links).select(F.col("node").alias("sid"), "component")
     return base.select("doc_id", "n_shingles", "sid"), linked
 
