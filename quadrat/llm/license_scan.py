@@ -127,7 +127,7 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
         if phrase in BASE:
             base.add(label)
             # The phrase's first word follows as many spaces as there are words before it.
-            places.append(flat.count(" ", 0, end - size))
+            places.append(flat.count(" ", 0, end - size - 1))
     # "cc by nc" also holds "cc by", which then says less than the text.
     if labels & {"cc-by-nc", "cc-by-sa", "cc-by-nd"}:
         labels.discard("cc-by")
