@@ -184,7 +184,9 @@ def _base(docs: DataFrame, k: int, num: int) -> DataFrame:
                         sent.add(sid)
                         sigs = made.signatures(s).view(np.int64)
                     rows.append((doc_id, len(s), sid, sigs))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "sid", "sigs"]).astype({"doc_id": "Int64", "sid": "Int64"})
+                ids, sizes, sids, sigs = zip(*rows, strict=True)
+                # Nulls among plain integers would make them floats.
+                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_shingles": sizes, "sid": pd.array(sids, "Int64"), "sigs": sigs})
 
     return texts(docs).mapInPandas(run, "doc_id long, n_shingles long, sid long, sigs array<long>")
 
