@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from quadrat.llm.common import texts
 
 #: Entries of a worker's table of strings that are encoded already.  When it is full the older half, which holds the frequent ones, stays.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def _byte_chars() -> dict[str, int]:
@@ -112,7 +112,7 @@ class Encoder:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves a and b side by side."""
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 300_000:
             self.pairs.clear()
         ok = self.pairs[a << 20 | b] = self._seam(a, b, 1 << 60)
         return ok
@@ -271,17 +271,18 @@ def _gather(offsets: np.ndarray, blob: np.ndarray, ids: np.ndarray) -> bytes:
     return blob[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)].tobytes()
 
 
-def _encoded(enc: Encoder, batch: pd.DataFrame, chars: int = 1_000_000) -> Iterator[tuple[int, np.ndarray]]:
-    """doc_id and ids of each row, encoded in groups of about so many bytes."""
+def _encoded(enc: Encoder, batch: pd.DataFrame, size: int = 1_000_000) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """doc_id and ids of each row, in groups of about so many bytes of text."""
     group: list[tuple[int, str]] = []
-    size = 0
+    have = 0
     for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
         group.append((doc_id, text.decode("utf-8", "replace")))
-        size += len(text)
-        if size >= chars:
-            yield from zip([x[0] for x in group], enc.encode_batch([x[1] for x in group]), strict=True)
-            group, size = [], 0
-    yield from zip([x[0] for x in group], enc.encode_batch([x[1] for x in group]), strict=True)
+        have += len(text)
+        if have >= size:
+            yield list(zip([x[0] for x in group], enc.encode_batch([x[1] for x in group]), strict=True))
+            group, have = [], 0
+    if group:
+        yield list(zip([x[0] for x in group], enc.encode_batch([x[1] for x in group]), strict=True))
 
 
 @lru_cache(maxsize=2)
@@ -303,11 +304,13 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for batch in batches:
-            rows = []
-            for doc_id, ids in _encoded(enc, batch):
-                row = (doc_id, len(ids), hashlib.sha256(enc.decimal(ids)).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest())
-                rows.append((*row, ids) if with_ids else row)
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "n_tokens": "int64"})
+            for group in _encoded(enc, batch):
+                # A part of a batch at a time: ids take more room than their texts.
+                rows = []
+                for doc_id, ids in group:
+                    row = (doc_id, len(ids), hashlib.sha256(enc.decimal(ids)).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest())
+                    rows.append((*row, ids) if with_ids else row)
+                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "n_tokens": "int64"})
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
