@@ -11,11 +11,11 @@ pieces on the best segmentation is stored at each terminal.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -23,6 +23,8 @@ from quadrat.llm.common import texts
 
 #: Terminal counts that a worker keeps; when full, the older half stays.
 CACHE = 400_000
+#: Characters of a pre-token up to which all of a depth are scored at once.
+LEVELS = 64
 
 
 class Unigram:
@@ -42,9 +44,75 @@ class Unigram:
                 node = node.setdefault(c, {})
             node[""] = max(score, node.get("", score))
         self.counts: dict[str, int] = {}
+        # The vocabulary's trie in arrays: steps sorted by (state, character), and each state's piece score.
+        states, steps = [self.root], []
+        for i, node in enumerate(states):
+            for c, after in node.items():
+                if c:
+                    steps.append((i << 21 | ord(c), len(states)))
+                    states.append(after)
+        steps.sort()
+        self.keys = np.array([k for k, _ in steps] + [1 << 62], np.int64)
+        self.after = np.array([a for _, a in steps] + [-1], np.int64)
+        self.piece = np.array([node.get("", -np.inf) for node in states])
+        self.inner = np.array([len(node) > ("" in node) for node in states])
 
     def count(self, tokens: list[str]) -> None:
         """Puts the counts of new pre-tokens into self.counts."""
+        self._by_level(sorted(t for t in tokens if len(t) <= LEVELS))
+        self._by_character([t for t in tokens if len(t) > LEVELS])
+
+    def _by_level(self, tokens: list[str]) -> None:
+        """All trie nodes of one depth at once; in sorted pre-tokens those under a node follow each other."""
+        length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        flat = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        start, pieces = np.cumsum(length) - length, np.zeros(len(tokens), np.int64)
+        alive = np.flatnonzero(length)
+        # The last level's nodes: of each alive pre-token its node; of each node its score, pieces and live walks, the new one first.
+        node, score, number = np.zeros(len(alive), np.int64), np.zeros(1), np.zeros(1, np.int64)
+        state, begun, used = np.zeros(1, np.int64), score, number
+        first, many = np.zeros(1, np.int64), np.ones(1, np.int64)
+        for depth in range(int(length.max(initial=0))):
+            c = flat[start[alive] + depth]
+            new = np.r_[True, (node[1:] != node[:-1]) | (c[1:] != c[:-1])]
+            node, parent, c = np.cumsum(new) - 1, node[new], c[new]
+            n = many[parent]
+            owner = np.repeat(np.arange(len(c)), n)
+            walk = np.arange(len(owner)) + np.repeat(first[parent] - np.cumsum(n) + n, n)
+            key = state[walk] << 21 | c[owner]
+            at = np.searchsorted(self.keys, key)
+            goes = np.flatnonzero(self.keys[at] == key)
+            owner, walk, state = owner[goes], walk[goes], self.after[at[goes]]
+            begun, used = begun[walk], used[walk]
+            # A character that no piece covers: each of its bytes is a piece.
+            size = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+            own, least = score[parent] + size * self.floor, number[parent] + size
+            s = begun + self.piece[state]
+            score = own.copy()
+            np.maximum.at(score, owner, s)
+            number = np.where(own == score, least, np.iinfo(np.int64).max)
+            best = np.flatnonzero(s == score[owner])
+            np.minimum.at(number, owner[best], used[best] + 1)
+            ends = length[alive] == depth + 1
+            pieces[alive[ends]] = number[node[ends]]
+            alive, node = alive[~ends], node[~ends]
+            # Walks that can go on, each node's new one before them.
+            on = np.flatnonzero(self.inner[state])
+            owner = owner[on]
+            many = np.bincount(owner, minlength=len(c)) + 1
+            first = np.cumsum(many) - many
+            to = np.arange(len(owner)) + owner + 1
+            state, begun, used = (self._placed(x[on], to, y, first) for x, y in ((state, np.zeros(len(c), np.int64)), (begun, score), (used, number)))
+        self.counts.update(zip(tokens, pieces.tolist(), strict=True))
+
+    @staticmethod
+    def _placed(walks: np.ndarray, to: np.ndarray, fresh: np.ndarray, first: np.ndarray) -> np.ndarray:
+        out = np.empty(len(walks) + len(fresh), fresh.dtype)
+        out[to], out[first] = walks, fresh
+        return out
+
+    def _by_character(self, tokens: list[str]) -> None:
+        """The same, node by node: for long pre-tokens, whose depths hold few nodes."""
         root, floor = self.root, self.floor
         # A trie node: [children, forward score, pieces, live walks as (vocabulary node, score, pieces)]
         top: list = [{}, 0.0, 0, []]
@@ -69,14 +137,6 @@ class Unigram:
                 node = child
             self.counts[token] = node[2]
 
-    def count_words(self, words: Counter[str]) -> int:
-        new = [w for w in words if w not in self.counts]
-        if len(self.counts) + len(new) > CACHE:
-            self.counts = dict(islice(self.counts.items(), CACHE // 2))
-            new = [w for w in words if w not in self.counts]
-        self.count(new)
-        return sum(n * self.counts[w] for w, n in words.items())
-
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Unigram:
