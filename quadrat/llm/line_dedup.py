@@ -18,10 +18,11 @@ from quadrat.llm.common import SPACE, let, table
 LONG_WORDS = 30
 
 
-def _hashes(text: Column) -> Column:
-    """Hash of each line, without the white space around it; null for a line without words."""
-    bare = lambda s: F.regexp_replace(s, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.transform(F.split(text, "\n"), lambda s: let(bare(s), lambda b: F.when(b != "", F.xxhash64(b))))
+def _lines(text: Column, long_words: int) -> Column:
+    """i, h and long of each line with words: its number, hash without the white space around it, and whether it has long_words words."""
+    many = lambda b: (F.octet_length(b) >= 2 * long_words - 1) & (F.size(F.split(b, SPACE)) >= long_words)
+    line = lambda s, i: let(F.btrim(s, F.lit(" \t\n\x0b\x0c\r")), lambda b: F.when(b != "", F.struct(i.alias("i"), F.xxhash64(b).alias("h"), many(b).alias("long"))))
+    return F.filter(F.transform(F.split(text, "\n"), line), lambda x: x.isNotNull())
 
 
 def repeated_lines(rows: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
@@ -30,9 +31,7 @@ def repeated_lines(rows: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     ord orders texts; of a repeated run the first in (ord, line) stays.  Lines
     without words are skipped over: they neither make nor break a run.
     """
-    lines = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size("all") - 1).alias("i"), F.col("all").alias("h"), F.col("long").alias("long")), lambda x: x["h"].isNotNull())
-    is_long = F.transform(F.split("text", "\n"), lambda s: F.size(F.filter(F.split(s, SPACE), lambda w: w != "")) >= long_words)
-    seqs = rows.select("rid", "ord", _hashes(F.col("text")).alias("all"), is_long.alias("long")).select("rid", "ord", lines.alias("l"))
+    seqs = rows.select("rid", "ord", _lines(F.col("text"), long_words).alias("l"))
     seqs = table(seqs.where("size(l) > 0").select("rid", "ord", F.col("l.i").alias("i"), F.col("l.h").alias("h"), F.col("l.long").alias("long")))
     # Fingerprints: of neighbours the one with the smaller hash, keyed with the other; long lines by themselves.
     n = F.size("h")
