@@ -34,8 +34,10 @@ from quadrat.llm.components import connected_components
 
 #: Sets of a family that one kernel takes.
 FAMILY_ROWS = 3000
-#: Sets whose signatures a task remembers to have sent, so that copies send none.
+#: Sets whose signatures a task remembers to have sent, so that copies send none; also the frequent signatures it remembers.
 REMEMBERED = 200_000
+#: Signatures that a task looks at together, and how often one comes among them to be frequent.
+TOGETHER, OFTEN = 1_000_000, 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,29 +168,73 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], num: int, side: np.nd
     return out
 
 
+class Sent:
+    """Signatures as a task sends them: each once among TOGETHER, a frequent one once a task; sets that hold it besides link to the sender at once."""
+
+    def __init__(self):
+        self.often, self.senders = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def reduce(self, sids: np.ndarray, sigs: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(signatures to send, sets to link with) of each set."""
+        sizes = [len(x) for x in sigs]
+        every = np.concatenate([np.empty(0, np.uint64), *sigs])
+        owner = np.repeat(np.arange(len(sigs)), sizes)
+        sig, first, of, count = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+        sender = sids[owner[first]] if len(sig) else np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.often, sig), max(len(self.often) - 1, 0))
+        old = self.often[at] == sig if len(self.often) else np.zeros(len(sig), bool)
+        sender[old] = self.senders[at[old]]
+        goes = np.zeros(len(every), bool)
+        goes[first[~old]] = True
+        beside = np.flatnonzero(~goes & (sids[owner] != sender[of]))
+        pairs = np.unique(np.stack([owner[beside], sender[of[beside]]]), axis=1)
+        new = ~old & (count >= OFTEN)
+        if len(self.often) + new.sum() > REMEMBERED:
+            self.__init__()
+        often = np.concatenate([self.often, sig[new]])
+        order = np.argsort(often)
+        self.often, self.senders = often[order], np.concatenate([self.senders, sender[new]])[order]
+        cut = lambda x, of: np.split(x, np.searchsorted(of, np.arange(1, len(sigs))))
+        return cut(every[goes].view(np.int64), owner[goes]), cut(pairs[1], pairs[0])
+
+
 def _base(docs: DataFrame, k: int, num: int) -> DataFrame:
-    """(doc_id, n_shingles, sid, sigs) of each row; copies that a task has seen come without sigs."""
+    """(doc_id, n_shingles, sid, sigs, links) of each row; copies that a task has seen come without sigs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made, sent = PartEnum(num), set()
+        made, seen, sent = PartEnum(num), set(), Sent()
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            ids, sizes, sids, sigs = zip(*rows, strict=True)
+            new = [i for i, x in enumerate(sigs) if x is not None]
+            to_send, to_link = [None] * len(rows), [None] * len(rows)
+            if new:
+                for i, x, y in zip(new, *sent.reduce(np.array([sids[i] for i in new], np.int64), [sigs[i] for i in new]), strict=True):
+                    to_send[i], to_link[i] = x, y
+            # Nulls among plain integers would make them floats.
+            return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_shingles": sizes, "sid": pd.array(sids, "Int64"), "sigs": to_send, "links": to_link})
+
         for batch in batches:
+            rows, held = [], 0
             for at in range(0, len(batch), 400):
                 part = batch.iloc[at : at + 400]
-                rows = []
                 for doc_id, s in zip(part["doc_id"], shingle_sets(list(part["text"]), k), strict=True):
                     sid = set_id(s) if len(s) else None
                     sigs = None
-                    if sid is not None and sid not in sent:
-                        if len(sent) >= REMEMBERED:
-                            sent.clear()
-                        sent.add(sid)
-                        sigs = made.signatures(s).view(np.int64)
+                    if sid is not None and sid not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(sid)
+                        sigs = made.signatures(s)
+                        held += len(sigs)
                     rows.append((doc_id, len(s), sid, sigs))
-                ids, sizes, sids, sigs = zip(*rows, strict=True)
-                # Nulls among plain integers would make them floats.
-                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_shingles": sizes, "sid": pd.array(sids, "Int64"), "sigs": sigs})
+                if held > TOGETHER:
+                    yield frame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield frame(rows)
 
-    return texts(docs).mapInPandas(run, "doc_id long, n_shingles long, sid long, sigs array<long>")
+    return texts(docs).mapInPandas(run, "doc_id long, n_shingles long, sid long, sigs array<long>, links array<long>")
 
 
 def similar_sets(docs: DataFrame, k: int, num: int, family_rows: int = FAMILY_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -199,8 +245,9 @@ def similar_sets(docs: DataFrame, k: int, num: int, family_rows: int = FAMILY_RO
     base = table(_base(docs, k, num))
     sigs = base.where("sigs is not null").select("sid", F.explode("sigs").alias("sig"))
     w = Window.partitionBy("sig")
-    # One exchange: a signature's least set, and whether it has others.
-    edges = sigs.withColumn("low", F.min("sid").over(w)).where("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct()
+    # One exchange: a signature's least set, and whether it has others.  A frequent signature has a row a task here, not a row a set.
+    edges = sigs.withColumn("low", F.min("sid").over(w)).where("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b"))
+    edges = edges.union(base.select(F.col("sid").alias("a"), F.explode("links").alias("b"))).distinct()
     family = table(connected_components(edges).select(F.col("node").alias("sid"), F.col("component").alias("family")))
     count = family.groupBy("family").count()
     blocks = F.ceil(F.col("count") / F.lit(family_rows / 2)).cast("int")
