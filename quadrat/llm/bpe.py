@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quadrat.llm.common import texts
+from quadrat.llm.common import release_memory, texts
 
 #: Entries of a worker's table of strings that are encoded already.  When it is full the older half, which holds the frequent ones, stays.
 CACHE = 200_000
@@ -220,6 +220,11 @@ class Encoder:
                 out.append((part, []) if beside or rest and (not first or first[-1].isspace()) else (first, rest))
         return out
 
+    def shrink(self) -> None:
+        """Keeps the eldest quarter of the caches, which has most of the common strings."""
+        self.cache = dict(islice(self.cache.items(), CACHE // 8))
+        self.runs = dict(islice(self.runs.items(), CACHE // 4))
+
     def encode_batch(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of texts; a special token's string in one becomes that token."""
         if len(self.runs) >= CACHE:
@@ -311,6 +316,8 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                     row = (doc_id, len(ids), hashlib.sha256(enc.decimal(ids)).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest())
                     rows.append((*row, ids) if with_ids else row)
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "n_tokens": "int64"})
+        enc.shrink()
+        release_memory()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

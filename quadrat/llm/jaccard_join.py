@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import partitions, table, texts
+from quadrat.llm.common import release_memory, table, texts
 from quadrat.llm.components import connected_components
 
 #: Sets of a family that one kernel takes.
@@ -233,6 +233,7 @@ def _base(docs: DataFrame, k: int, num: int) -> DataFrame:
                     rows, held = [], 0
             if rows:
                 yield frame(rows)
+        release_memory()
 
     return texts(docs).mapInPandas(run, "doc_id long, n_shingles long, sid long, sigs array<long>, links array<long>")
 
@@ -268,6 +269,7 @@ def similar_sets(docs: DataFrame, k: int, num: int, family_rows: int = FAMILY_RO
                 part = batch.iloc[at : at + 400]
                 sets = shingle_sets(list(part["text"]), k)
                 yield pd.DataFrame({"own": [set_id(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+        release_memory()
 
     sets = text.mapInPandas(to_sets, "own long, shingles binary").dropDuplicates(["own"])
     members = needed.drop("doc_id").join(sets, needed["sid"] == sets["own"]).drop("own")
