@@ -126,6 +126,17 @@ def test_attention_beats_frequencies_on_held_out_sequences():
     assert np.allclose(alone, got[3 * 61 : 4 * 61], atol=1e-4)  # neighbours in a batch don't leak
 
 
+def test_lm_learns_from_texts_beyond_the_start(spark, monkeypatch):
+    """The start sees one window of words in any order; which word follows is to be learnt from the other texts."""
+    monkeypatch.setattr(lm_score, "SAMPLE_WINDOWS", 1)
+    rng, words = random.Random(3), ["the", "of", "and", "to", "in", "is", "for", "on"]
+    ring = lambda: " ".join(words[(i + a) % 8] for a in [rng.randrange(8)] for i in range(200))
+    rows = [(i, ring()) for i in range(150)]
+    made = lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), tokenizer_path("byte_bpe_50k.tiktoken"))
+    held = [r for r in made.collect() if r["held_out"]]
+    assert len(held) > 5 and sum(r["score"] for r in held) > 0.8 * sum(r["base_score"] for r in held)
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     m = lm_score.Attention(12, np.arange(12) % 5)
