@@ -112,6 +112,13 @@ def test_lm_base_and_held_out(docs):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows.values())
 
 
+def test_lm_words_keep_their_frequencies(docs):
+    """How many words the workers hold doesn't matter to the scores."""
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    few, all_ = ({r["doc_id"]: r["score"] for r in lm_score.score_documents(docs, path, n).collect()} for n in (3, 100_000))
+    assert few == pytest.approx(all_, rel=1e-6)
+
+
 def test_attention_beats_frequencies_on_held_out_sequences():
     """Sequences that walk a ring, so what comes next is known from the context alone."""
     rng = np.random.default_rng(4)
