@@ -258,10 +258,13 @@ def similar_sets(docs: DataFrame, k: int, num: int, family_rows: int = FAMILY_RO
     # The pairs of blocks that a set has a part in.
     family = family.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     family = family.select("sid", "family", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine")
-    # A set's text comes from the document with the least id.
+    # A set's text comes from the document with the least id; should a set have none, all texts without an id are looked at.
     owners = base.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     needed = table(family.join(owners, "sid"))
-    text = texts(docs).join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
+    every = texts(docs)
+    text = every.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
+    if needed.where("doc_id is null").limit(1).count():
+        text = text.union(every.where("doc_id is null"))
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

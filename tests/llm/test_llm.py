@@ -177,6 +177,14 @@ def test_jaccard_components(docs, k, num, family_rows):
     assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
+def test_jaccard_links_through_texts_without_an_id(spark):
+    """5 resembles the text without an id, and that resembles 9; 5 and 9 don't."""
+    w = [f"w{i}" for i in range(200)]
+    rows = [(5, " ".join(w[:190])), (None, " ".join(w[8:198])), (9, " ".join(w[16:] + ["a", "b"])), (None, "apart " * 3)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == [(5, 5), (9, 5), (None, 5), (None, None)]
+
+
 def test_partenum_loses_no_similar_pair():
     rng = np.random.default_rng(1)
     for num in (80, 90):
