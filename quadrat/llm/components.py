@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from quadrat.llm.common import table
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges(a, b)``; the component is its smallest node.
 
     A large-star round hangs a node's larger neighbours, and a small-star round
     its smaller ones, under the smallest node near it; each is one aggregate and
-    one join, and rounds grow with the logarithm of the longest path.  Edges are
-    written to the shared folder in each round, so a lost executor costs one
-    round at most.  An empty edge table gives an empty result.
+    one join, and rounds grow with the logarithm of the longest path; they end
+    when one changes nothing.  Edges are written to the shared folder in each
+    round, so a lost executor costs one round at most.  A star's centre is
+    aggregated before the shuffle; its edges meet its row in a sort-merge join,
+    which adaptive execution splits.  An empty edge table gives an empty result.
     """
     rows = table(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = rows.union(rows.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -160,8 +160,8 @@ def test_attention_gradients():
         assert g[k][at] == pytest.approx((a - b) / 2 / e, rel=1e-4, abs=1e-9)
 
 
-@pytest.mark.parametrize(("k", "num", "family_rows"), [(3, 90, 3000), (5, 80, 3000), (3, 90, 2)])
-def test_jaccard_components(docs, k, num, family_rows):
+@pytest.mark.parametrize(("k", "num", "limits"), [(3, 90, (1500, 4)), (5, 80, (1500, 4)), (1, 60, (1500, 4)), (1, 60, (2, -1)), (1, 60, (2, 0.5))])
+def test_jaccard_components(docs, k, num, limits):
     sets = []
     for t in TEXTS:
         w = (t or "").encode().lower().split()
@@ -173,7 +173,7 @@ def test_jaccard_components(docs, k, num, family_rows):
             if sets[i] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
                 a, b = sorted((root(i), root(j)))
                 up[b] = a
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, k, num, family_rows).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, k, num, *limits).collect()}
     assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
@@ -185,6 +185,13 @@ def test_jaccard_links_through_texts_without_an_id(spark):
     assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == [(5, 5), (9, 5), (None, 5), (None, None)]
 
 
+def test_keep_one_keeps_different_texts_under_one_id(spark):
+    long, other = TEXTS[0], TEXTS[1]
+    rows = [(2, long), (2, other), (1, long + " more"), (3, other), (3, other), (None, long), (None, None), (4, None), (5, ""), (6, TEXTS[2]), (6, TEXTS[2])]
+    got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, long + " more"), (2, other), (None, long), (None, None), (4, None), (5, ""), (6, TEXTS[2])], key=str)
+
+
 def test_partenum_loses_no_similar_pair():
     rng = np.random.default_rng(1)
     for num in (80, 90):
@@ -195,7 +202,7 @@ def test_partenum_loses_no_similar_pair():
                 gone = rng.integers(0, n * (100 - num) // 100 + 1)
                 most = int((n - gone) * 100 / num) - n
                 b = np.unique(np.r_[a[gone:], rng.integers(0, 1 << 63, max(0, most)).astype(np.uint64)])
-                if len(b) and jaccard_join._similar(a, b, num):
+                if len(b) and jaccard_join.similar(a, b, num) and not np.array_equal(a, b):
                     assert np.intersect1d(made.signatures(a), made.signatures(b)).size
 
 
