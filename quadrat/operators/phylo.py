@@ -16,12 +16,13 @@ from quadrat import cube
 
 
 def label_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tree of the canonical labels: root, brands, brand:type tips.  Lengths differ: mean size at tips, mean price / 1000 at brands."""
+    """Tree of the canonical labels: root, brands, brand:type tips and a tip of each brand that no group holds.  Lengths differ: mean size at tips, mean price / 1000 at brands."""
     part = cube.table(spark, sf_dir, "part")
     tips = part.groupBy(F.concat_ws(":", "p_brand", "p_type").alias("node"), F.col("p_brand").alias("parent")).agg(F.avg("p_size").alias("length"))
     brands = part.groupBy(F.col("p_brand").alias("node")).agg((F.avg("p_retailprice") / 1000).alias("length")).select("node", F.lit("root").alias("parent"), "length")
+    gone = part.select(F.concat_ws(":", "p_brand", F.lit("gone")).alias("node"), F.col("p_brand").alias("parent")).distinct().withColumn("length", F.lit(7.0))
     root = spark.createDataFrame([("root", None, 0.0)], "node string, parent string, length double")
-    return tips.unionByName(brands).unionByName(root)
+    return tips.unionByName(gone).unionByName(brands).unionByName(root)
 
 
 def closure(nodes: DataFrame, depth: int) -> DataFrame:
@@ -36,8 +37,10 @@ def closure(nodes: DataFrame, depth: int) -> DataFrame:
     return out.select("tip", "node", "length", "steps")
 
 
-def equalised(nodes: DataFrame) -> DataFrame:
-    """Nonzero branch lengths become their mean."""
+def equalised(nodes: DataFrame, to: float | None = None) -> DataFrame:
+    """Nonzero branch lengths become their mean, or the one given."""
+    if to is not None:
+        return nodes.select("node", "parent", F.when(F.col("length") != 0, F.lit(to)).otherwise(0.0).alias("length"))
     mean = nodes.where("length <> 0").agg(F.avg("length").alias("m"))
     return nodes.crossJoin(F.broadcast(mean)).select("node", "parent", F.when(F.col("length") != 0, F.col("m")).otherwise(0.0).alias("length"))
 
@@ -58,32 +61,39 @@ def node_ranges(occ: DataFrame, paths: DataFrame) -> DataFrame:
     return occ.join(paths, occ["label"] == paths["tip"]).groupBy("node").agg(F.count_distinct("grp").alias("range"))
 
 
+def group_nodes(occ: DataFrame, paths: DataFrame) -> DataFrame:
+    """(grp, node, n): samples below each node that a group holds; neighbourhoods share them, so tips are climbed from once."""
+    return occ.join(paths.select("tip", "node"), F.col("label") == F.col("tip")).groupBy("grp", "node").agg(F.sum("n").alias("n"))
+
+
 def local_nodes(occ: DataFrame, nbrs: DataFrame, paths: DataFrame) -> DataFrame:
-    """(proc, node, length, k1, k2, n): groups of each set that hold the node, and samples below it."""
-    held = nbrs.join(occ, "grp").join(paths, F.col("label") == F.col("tip"))
-    by_group = held.groupBy("proc", "node", "grp", "set").agg(F.sum("n").alias("n"), F.first("length").alias("length"))
-    return by_group.groupBy("proc", "node").agg(F.first("length").alias("length"), F.count_if(F.col("set") == 1).alias("k1"), F.count_if(F.col("set") == 2).alias("k2"), F.sum("n").alias("n"))
+    """(proc, node, k1, k2, n): groups of each set that hold the node, and samples below it."""
+    held = nbrs.join(group_nodes(occ, paths), "grp")
+    return held.groupBy("proc", "node").agg(F.count_if(F.col("set") == 1).alias("k1"), F.count_if(F.col("set") == 2).alias("k2"), F.sum("n").alias("n"))
 
 
 #: Sums over a neighbourhood's nodes; len, eq: branch length, and its equalised one; r: the node's range.
 AGGREGATES = {
     "PD": "sum(len)", "PDE": "sum(eq)",
     "PA": "sum(case when k1 > 0 and k2 > 0 then len else 0 end)", "PB": "sum(case when k1 > 0 and k2 = 0 then len else 0 end)", "PC": "sum(case when k1 = 0 and k2 > 0 then len else 0 end)",
-    "PE": "sum(len * (k1 + k2) / r)", "PEE": "sum(eq * (k1 + k2) / r)", "PES": "sum(len / r)", "PEN": "sum(case when k1 + k2 = r then len else 0 end)", "PENW": "sum(case when k1 + k2 = r then len * (k1 + k2) / r else 0 end)",
+    "PE": "sum(len * (k1 + k2) / r)", "PEE": "sum(eq * (k1 + k2) / r)", "PES": "sum(len / r)", "PENW": "sum(case when k1 + k2 = r then len else 0 end)",
     "PEC": "sum(case when k1 > 0 then len * (k1 + k2) / r else 0 end)", "PDC": "sum(case when k1 > 0 then len else 0 end)",
     "XA": "sum(case when k1 > 0 and k2 > 0 then len * (k1 + k2) / r else 0 end)", "XB": "sum(case when k1 > 0 and k2 = 0 then len * k1 / r else 0 end)", "XC": "sum(case when k1 = 0 and k2 > 0 then len * k2 / r else 0 end)",
-    "AB": "sum(len * n)", "T": "max(tree)", "TE": "max(tree_eq)", "TIPS": "sum(is_tip)", "NTIPS": "max(n_tips)",
+    "PEEC": "sum(case when k1 > 0 then eq * (k1 + k2) / r else 0 end)", "PET": "sum(is_tip * (k1 + k2) / r)",
+    "AB": "sum(len * n)", "TIPS": "sum(is_tip)",
+    # Length, that with equalised branches, and tips: of the whole tree, and of the one trimmed to the cube's labels.
+    "T": "max(tree)", "TE": "max(tree_eq)", "NTIPS": "max(n_tips)", "TT": "max(trim)", "TTE": "max(trim_eq)", "TNTIPS": "max(n_trim_tips)",
 }
 
 CALCULATIONS: dict[str, dict[str, str]] = {
     "calc_pd": {"PD": "PD", "PD_P": "PD / nullif(T, 0)"},
     "calc_pd_terminal_node_count": {"PD_INCLUDED_TERMINAL_NODE_COUNT": "TIPS"},
     "calc_count_labels_on_tree": {"PHYLO_LABELS_ON_TREE_COUNT": "TIPS"},
-    "calc_pe": {"PE_WE": "PE", "PE_WE_P": "PE / nullif(T, 0)"},
-    "calc_pe_single": {"PE_WE_SINGLE": "PES", "PE_WE_SINGLE_P": "PES / nullif(T, 0)"},
-    "calc_pe_central": {"PEC_WE": "PEC", "PEC_WE_P": "PEC / nullif(T, 0)"},
+    "calc_pe": {"PE_WE": "PE", "PE_WE_P": "PE / nullif(TT, 0)"},
+    "calc_pe_single": {"PE_WE_SINGLE": "PES", "PE_WE_SINGLE_P": "PES / nullif(TT, 0)"},
+    "calc_pe_central": {"PEC_WE": "PEC", "PEC_WE_P": "PEC / nullif(TT, 0)"},
     "calc_pe_central_cwe": {"PEC_CWE": "PEC / nullif(PDC, 0)", "PEC_CWE_PD": "PDC"},
-    "calc_pd_endemism": {"PD_ENDEMISM": "PENW", "PD_ENDEMISM_P": "PENW / nullif(T, 0)"},
+    "calc_pd_endemism": {"PD_ENDEMISM": "PENW", "PD_ENDEMISM_P": "PENW / nullif(TT, 0)"},
     "calc_phylo_corrected_weighted_endemism": {"PE_CWE": "PE / nullif(PD, 0)"},
     "calc_phylo_abundance": {"PHYLO_ABUNDANCE": "AB"},
     "calc_phylo_abc": {"PHYLO_A": "PA", "PHYLO_B": "PB", "PHYLO_C": "PC", "PHYLO_ABC": "PA + PB + PC"},
@@ -93,19 +103,32 @@ CALCULATIONS: dict[str, dict[str, str]] = {
     "calc_phylo_rw_turnover": {"PHYLO_RW_TURNOVER": "1 - XA / nullif(XA + XB + XC, 0)", "PHYLO_RW_TURNOVER_A": "XA", "PHYLO_RW_TURNOVER_B": "XB", "PHYLO_RW_TURNOVER_C": "XC"},
     "calc_phylo_rpd1": {"PHYLO_RPD1": "PD / nullif(T, 0) / nullif(1e0 * TIPS / nullif(NTIPS, 0), 0)", "PHYLO_RPD_NULL1": "1e0 * TIPS / nullif(NTIPS, 0)", "PHYLO_RPD_DIFF1": "T * (PD / nullif(T, 0) - 1e0 * TIPS / nullif(NTIPS, 0))"},
     "calc_phylo_rpd2": {"PHYLO_RPD2": "PD / nullif(T, 0) / nullif(PDE / nullif(TE, 0), 0)", "PHYLO_RPD_NULL2": "PDE / nullif(TE, 0)", "PHYLO_RPD_DIFF2": "T * (PD / nullif(T, 0) - PDE / nullif(TE, 0))"},
-    "calc_phylo_rpe2": {"PHYLO_RPE2": "PE / nullif(T, 0) / nullif(PEE / nullif(TE, 0), 0)", "PHYLO_RPE_NULL2": "PEE / nullif(TE, 0)", "PHYLO_RPE_DIFF2": "T * (PE / nullif(T, 0) - PEE / nullif(TE, 0))"},
+    "calc_phylo_rpe1": {"PHYLO_RPE1": "PE / nullif(TT, 0) / nullif(PET / nullif(TNTIPS, 0), 0)", "PHYLO_RPE_NULL1": "PET / nullif(TNTIPS, 0)", "PHYLO_RPE_DIFF1": "TT * (PE / nullif(TT, 0) - PET / nullif(TNTIPS, 0))"},
+    "calc_phylo_rpe_central": {"PHYLO_RPEC": "PEC / nullif(TT, 0) / nullif(PEEC / nullif(TTE, 0), 0)", "PHYLO_RPE_NULLC": "PEEC / nullif(TTE, 0)", "PHYLO_RPE_DIFFC": "TT * (PEC / nullif(TT, 0) - PEEC / nullif(TTE, 0))"},
+    "calc_phylo_rpe2": {"PHYLO_RPE2": "PE / nullif(TT, 0) / nullif(PEE / nullif(TTE, 0), 0)", "PHYLO_RPE_NULL2": "PEE / nullif(TTE, 0)", "PHYLO_RPE_DIFF2": "TT * (PE / nullif(TT, 0) - PEE / nullif(TTE, 0))"},
 }
 
 
+def measured(nodes: DataFrame, tips: DataFrame) -> DataFrame:
+    """(node, len, eq, is_tip) of nodes; tips(tip)."""
+    return equalised(nodes, 1.0).select("node", F.col("length").alias("eq")).join(nodes.select("node", F.col("length").alias("len")), "node").join(tips.select(F.col("tip").alias("node"), F.lit(1).alias("is_tip")), "node", "left").withColumn("is_tip", F.coalesce("is_tip", F.lit(0)))
+
+
+def rows_of(occ: DataFrame, nbrs: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """A row for each node of a centre, of the tree trimmed to the cube's labels: local and global ranges, lengths, and totals of the whole tree and of the trimmed one."""
+    whole = closure(nodes, depth)
+    paths = trimmed(whole, occ)
+    every = measured(nodes, whole.where("steps = 0").select("tip"))
+    known = every.join(paths.select("node").distinct(), "node", "left_semi")
+    sums = lambda rows, a, b, c: rows.agg(F.sum("len").alias(a), F.sum("eq").alias(b), F.sum("is_tip").alias(c))
+    totals = sums(every, "tree", "tree_eq", "n_tips").crossJoin(sums(known, "trim", "trim_eq", "n_trim_tips"))
+    ranges = group_nodes(occ, paths).groupBy("node").agg(F.count("*").alias("r"))
+    return local_nodes(occ, nbrs, paths).join(known.join(ranges, "node"), "node").crossJoin(F.broadcast(totals))
+
+
 def calculate(occ: DataFrame, nbrs: DataFrame, nodes: DataFrame, depth: int, names: Sequence[str], digits: int = 8) -> DataFrame:
-    """(proc, indices...) over the tree trimmed to the cube's labels."""
-    paths = trimmed(closure(nodes, depth), occ).persist()
-    kept = nodes.join(paths.select("node").distinct(), "node", "left_semi")
-    tips = paths.where("steps = 0").select("node", F.lit(1).alias("is_tip"))
-    known = equalised(kept).select("node", F.col("length").alias("eq")).join(kept.select("node", F.col("length").alias("len")), "node").join(tips, "node", "left").withColumn("is_tip", F.coalesce("is_tip", F.lit(0)))
-    totals = known.agg(F.sum("len").alias("tree"), F.sum("eq").alias("tree_eq"), F.sum("is_tip").alias("n_tips"))
-    rows = local_nodes(occ, nbrs, paths).drop("length").join(known.join(node_ranges(occ, paths).withColumnRenamed("range", "r"), "node"), "node").crossJoin(F.broadcast(totals))
-    summed = rows.groupBy("proc").agg(*[F.expr(e).alias(a) for a, e in AGGREGATES.items()])
+    """(proc, indices...) over the tree; what is relative to its length takes the whole tree for PD and the trimmed one for PE."""
+    summed = rows_of(occ, nbrs, nodes, depth).groupBy("proc").agg(*[F.expr(e).alias(a) for a, e in AGGREGATES.items()])
     columns = {i: e for n in names for i, e in CALCULATIONS[n].items()}
     return summed.select("proc", *[F.round(F.expr(e).cast("double"), digits).alias(i) for i, e in columns.items()])
 

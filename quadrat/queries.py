@@ -11,64 +11,8 @@ from pyspark.sql import functions as F
 from quadrat import cube
 from quadrat.functions import stats
 from quadrat.operators import cluster, conditions, indices, phylo, randomise
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-_OCC = """WITH occ AS (
-  SELECT CAST(floor(l_suppkey / 5) AS BIGINT) || ':' || CAST(floor(((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1) / 6) AS BIGINT) AS grp,
-    p_brand || ':' || p_type AS label, sum(l_quantity) AS n
-  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
-_GROUPS = _OCC + """, gps AS (
-  SELECT grp, CAST(split_part(grp, ':', 1) AS BIGINT) AS x, CAST(split_part(grp, ':', 2) AS BIGINT) AS y, count(*) AS richness, sum(n) AS samples,
-    1 - count(*) / sum(n) AS redundancy FROM occ GROUP BY 1, 2, 3)"""
-_NBRS = _GROUPS + """, nbrs AS (
-  SELECT c.grp AS proc, b.grp AS grp, CASE WHEN c.grp = b.grp THEN 1 ELSE 2 END AS s FROM gps c JOIN gps b
-    ON abs(c.x - b.x) + abs(c.y - b.y) <= 1)"""
-_LABELS = ", labs AS (SELECT label, count(*) AS r, sum(n) AS a FROM occ GROUP BY 1)"
-_ABC = _NBRS + _LABELS + """, loc AS (
-  SELECT proc, label, count(*) FILTER (s = 1) AS g1, count(*) FILTER (s = 2) AS g2,
-    sum(CASE WHEN s = 1 THEN n ELSE 0 END) AS n1, sum(CASE WHEN s = 2 THEN n ELSE 0 END) AS n2 FROM nbrs JOIN occ USING (grp) GROUP BY 1, 2),
-  used AS (SELECT proc, count(*) FILTER (s = 1) AS e1, count(*) FILTER (s = 2) AS e2 FROM nbrs GROUP BY 1),
-  abc AS (SELECT loc.*, CAST(g1 > 0 AS INT) AS in1, CAST(g2 > 0 AS INT) AS in2, r, a, e1, e2, (SELECT count(DISTINCT label) FROM occ) AS total
-    FROM loc JOIN labs USING (label) JOIN used USING (proc))"""
-_TREE = """, paths AS (
-  SELECT p_brand || ':' || p_type AS tip, p_brand || ':' || p_type AS node, avg(p_size) AS len, 1 AS is_tip FROM part GROUP BY 1, 2
-  UNION ALL SELECT t.tip, t.node, b.len, 0 FROM (SELECT DISTINCT p_brand || ':' || p_type AS tip, p_brand AS node FROM part) t
-    JOIN (SELECT p_brand AS node, avg(p_retailprice) / 1000 AS len FROM part GROUP BY 1) b ON t.node = b.node
-  UNION ALL SELECT DISTINCT p_brand || ':' || p_type, 'root', 0e0, 0 FROM part),
-  kept AS (SELECT * FROM paths WHERE tip IN (SELECT label FROM occ)),
-  nodes AS (SELECT node, max(len) AS len, max(is_tip) AS is_tip FROM kept GROUP BY 1),
-  eqs AS (SELECT nodes.*, CASE WHEN len <> 0 THEN (SELECT avg(len) FROM nodes WHERE len <> 0) ELSE 0 END AS eq FROM nodes),
-  nrange AS (SELECT node, count(DISTINCT grp) AS r FROM occ JOIN kept ON label = tip GROUP BY 1)"""
-
-
-def register(name: str, sql: str | None = None):
-    def wrap(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return wrap
-
-
-def _shared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The cube, its neighbour sets and the tree, which every index reads several times: kept, and recomputed where a kept part is lost."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _KEPT:
-        occ = cube.canonical(spark, sf_dir).persist()
-        nbrs = conditions.two_sets(cube.groups(occ), conditions.self_only(), conditions.circle(1)).persist()
-        _KEPT.clear()
-        _KEPT[key] = occ, nbrs, phylo.label_tree(spark, sf_dir).persist()
-    return _KEPT[key]
-
-
-_KEPT: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
-
-
-def base_cube(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return _shared(spark, sf_dir)[:2]
+from quadrat.plans import index_sql
+from quadrat.plans.registry import GROUPS, LABELS, OCC, ORACLE_SQL, QUERIES, TREE, base_cube, register, shared
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,30 +22,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indices.calculate(occ, nbrs, ["calc_richness", "calc_endemism_whole"])
 
 
-def _rounded(formulas: dict[str, str]) -> str:
-    return ", ".join(f"round(CAST({e} AS DOUBLE), 8) AS {i}" for i, e in formulas.items())
-
-
-def _summed(aggregates: dict[str, str], rows: str) -> str:
-    return f", agg AS (SELECT proc, {', '.join(f'{e} AS {a}' for a, e in aggregates.items())} FROM {rows} GROUP BY proc)"
-
-
-for _name, _formulas in indices.CALCULATIONS.items():
-    register(_name, f"{_ABC}{_summed(indices.AGGREGATES, 'abc')} SELECT proc, {_rounded(_formulas)} FROM agg")(
-        lambda spark, sf_dir, name=_name: indices.calculate(*base_cube(spark, sf_dir), [name])
-    )
-
-_PHYLO = f"""{_NBRS}{_TREE}, byg AS (SELECT proc, node, grp, s, sum(n) AS n FROM nbrs JOIN occ USING (grp) JOIN kept ON label = tip GROUP BY 1, 2, 3, 4),
-  pn AS (SELECT proc, node, count(*) FILTER (s = 1) AS k1, count(*) FILTER (s = 2) AS k2, sum(n) AS n FROM byg GROUP BY 1, 2),
-  pr AS (SELECT pn.*, len, eq, is_tip, r, (SELECT sum(len) FROM eqs) AS tree, (SELECT sum(eq) FROM eqs) AS tree_eq, (SELECT sum(is_tip) FROM eqs) AS n_tips
-    FROM pn JOIN eqs USING (node) JOIN nrange USING (node)){_summed(phylo.AGGREGATES, 'pr')}"""
-for _name, _formulas in phylo.CALCULATIONS.items():
-    register(_name, f"{_PHYLO} SELECT proc, {_rounded(_formulas)} FROM agg")(
-        lambda spark, sf_dir, name=_name: phylo.calculate(*base_cube(spark, sf_dir), _shared(spark, sf_dir)[2], 2, [name])
-    )
+for _name in index_sql.DEFINITIONS:
+    register(_name, index_sql.index_sql(_name))(lambda spark, sf_dir, name=_name: indices.calculate(*base_cube(spark, sf_dir), [name]))
+for _name in index_sql.NODE_DEFINITIONS:
+    register(_name, index_sql.node_sql(_name))(lambda spark, sf_dir, name=_name: phylo.calculate(*base_cube(spark, sf_dir), shared(spark, sf_dir)[2], 2, [name]))
 
 
-@register("sp_calc_flagship", f"{_OCC}{_LABELS} SELECT grp AS proc, CAST(count(*) AS DOUBLE) AS RICHNESS_ALL, CAST(count(*) AS DOUBLE) AS RICHNESS_SET1, CAST(0 AS DOUBLE) AS RICHNESS_SET2, round(sum(1e0 / r), 8) AS ENDW_WE, round(sum(1e0 / r) / count(*), 8) AS ENDW_CWE, CAST(count(*) AS DOUBLE) AS ENDW_RICHNESS, round(sum(1e0 / r), 8) AS ENDW_SINGLE FROM occ JOIN labs USING (label) GROUP BY 1")
+@register("sp_calc_flagship", f"{OCC}{LABELS} SELECT grp AS proc, CAST(count(*) AS DOUBLE) AS RICHNESS_ALL, CAST(count(*) AS DOUBLE) AS RICHNESS_SET1, CAST(0 AS DOUBLE) AS RICHNESS_SET2, round(sum(1e0 / r), 8) AS ENDW_WE, round(sum(1e0 / r) / count(*), 8) AS ENDW_CWE, CAST(count(*) AS DOUBLE) AS ENDW_RICHNESS, round(sum(1e0 / r), 8) AS ENDW_SINGLE FROM occ JOIN labs USING (label) GROUP BY 1")
 def sp_calc_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship(spark, sf_dir)
 
@@ -130,26 +57,26 @@ _CONDITIONS = {
     "sp_condition_and_not": (conditions.circle(3) & ~conditions.circle(1), "sqrt((c.x - b.x) * (c.x - b.x) + (c.y - b.y) * (c.y - b.y)) <= 3 AND NOT sqrt((c.x - b.x) * (c.x - b.x) + (c.y - b.y) * (c.y - b.y)) <= 1"),
 }
 for _name, (_condition, _sql) in _CONDITIONS.items():
-    register(_name, f"{_GROUPS} SELECT c.grp AS proc, count(*) AS n_nbrs FROM gps c JOIN gps b ON {_sql} GROUP BY 1")(
-        lambda spark, sf_dir, c=_condition: conditions.neighbours(cube.groups(_shared(spark, sf_dir)[0]), c).groupBy("proc").agg(F.count("*").alias("n_nbrs"))
+    register(_name, f"{GROUPS} SELECT c.grp AS proc, count(*) AS n_nbrs FROM gps c JOIN gps b ON {_sql} GROUP BY 1")(
+        lambda spark, sf_dir, c=_condition: conditions.neighbours(cube.groups(shared(spark, sf_dir)[0]), c).groupBy("proc").agg(F.count("*").alias("n_nbrs"))
     )
 
 
-@register("sp_select_sequence", f"{_GROUPS} SELECT grp FROM (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS i FROM gps) WHERE i % 4 = 0")
+@register("sp_select_sequence", f"{GROUPS} SELECT grp FROM (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS i FROM gps) WHERE i % 4 = 0")
 def sp_select_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conditions.sequence(cube.groups(_shared(spark, sf_dir)[0]), 4)
+    return conditions.sequence(cube.groups(shared(spark, sf_dir)[0]), 4)
 
 
-@register("sp_select_block", f"{_GROUPS} SELECT grp FROM (SELECT grp, row_number() OVER (PARTITION BY floor(x / 3), floor(y / 3) ORDER BY grp) AS i FROM gps) WHERE i <= 2")
+@register("sp_select_block", f"{GROUPS} SELECT grp FROM (SELECT grp, row_number() OVER (PARTITION BY floor(x / 3), floor(y / 3) ORDER BY grp) AS i FROM gps) WHERE i <= 2")
 def sp_select_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conditions.first_of_blocks(cube.groups(_shared(spark, sf_dir)[0]), 3, 2)
+    return conditions.first_of_blocks(cube.groups(shared(spark, sf_dir)[0]), 3, 2)
 
 
 # ---- the cube
 
 
 def _cube_query(name: str, sql: str, f: Callable[[DataFrame], DataFrame]) -> None:
-    register(name, f"{_OCC} {sql}")(lambda spark, sf_dir: f(_shared(spark, sf_dir)[0]))
+    register(name, f"{OCC} {sql}")(lambda spark, sf_dir: f(shared(spark, sf_dir)[0]))
 
 
 _cube_query("import_data", "SELECT grp, label, n FROM occ", lambda occ: occ)
@@ -214,24 +141,24 @@ def calc_iei_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _index, _sql in (("SORENSON", "1 - 2e0 * a / (v1 + v2)"), ("JACCARD", "1 - 1e0 * a / (v1 + v2 - a)"), ("S2", "1 - 1e0 * a / least(v1, v2)")):
     register(
         f"build_matrix_{_index.lower()}",
-        f"{_OCC}, v AS (SELECT grp, count(*) AS v FROM occ GROUP BY 1), p AS (SELECT p.grp AS e1, q.grp AS e2, p.v AS v1, q.v AS v2, (SELECT count(*) FROM occ x JOIN occ y ON x.label = y.label WHERE x.grp = p.grp AND y.grp = q.grp) AS a FROM v p JOIN v q ON p.grp < q.grp) SELECT e1, e2, round({_sql}, 8) AS value FROM p",
-    )(lambda spark, sf_dir, index=_index: cluster.pair_matrix(_shared(spark, sf_dir)[0], index))
+        f"{OCC}, v AS (SELECT grp, count(*) AS v FROM occ GROUP BY 1), p AS (SELECT p.grp AS e1, q.grp AS e2, p.v AS v1, q.v AS v2, (SELECT count(*) FROM occ x JOIN occ y ON x.label = y.label WHERE x.grp = p.grp AND y.grp = q.grp) AS a FROM v p JOIN v q ON p.grp < q.grp) SELECT e1, e2, round({_sql}, 8) AS value FROM p",
+    )(lambda spark, sf_dir, index=_index: cluster.pair_matrix(shared(spark, sf_dir)[0], index))
 
 
-@register("get_node_range_hash", f"{_OCC}{_TREE} SELECT node, r AS range FROM nrange")
+@register("get_node_range_hash", f"{OCC}{TREE} SELECT node, r AS range FROM nrange")
 def get_node_range_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    occ = _shared(spark, sf_dir)[0]
-    return phylo.node_ranges(occ, phylo.trimmed(phylo.closure(_shared(spark, sf_dir)[2], 2), occ))
+    occ = shared(spark, sf_dir)[0]
+    return phylo.node_ranges(occ, phylo.trimmed(phylo.closure(shared(spark, sf_dir)[2], 2), occ))
 
 
-@register("tree_to_matrix", "WITH t AS (SELECT p_brand || ':' || p_type AS tip, p_brand AS b, avg(p_size) AS len FROM part GROUP BY 1, 2), g AS (SELECT p_brand AS b, avg(p_retailprice) / 1000 AS len FROM part GROUP BY 1) SELECT x.tip AS a, y.tip AS b, round(x.len + y.len + CASE WHEN x.b = y.b THEN 0 ELSE gx.len + gy.len END, 9) AS distance FROM t x JOIN t y ON x.tip < y.tip JOIN g gx ON gx.b = x.b JOIN g gy ON gy.b = y.b")
+@register("tree_to_matrix", "WITH t AS (SELECT p_brand || ':' || p_type AS tip, p_brand AS b, avg(p_size) AS len FROM part GROUP BY 1, 2 UNION ALL SELECT DISTINCT p_brand || ':gone', p_brand, 7e0 FROM part), g AS (SELECT p_brand AS b, avg(p_retailprice) / 1000 AS len FROM part GROUP BY 1) SELECT x.tip AS a, y.tip AS b, round(x.len + y.len + CASE WHEN x.b = y.b THEN 0 ELSE gx.len + gy.len END, 9) AS distance FROM t x JOIN t y ON x.tip < y.tip JOIN g gx ON gx.b = x.b JOIN g gy ON gy.b = y.b")
 def tree_to_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phylo.patristic(phylo.closure(_shared(spark, sf_dir)[2], 2)).select("a", "b", F.round("distance", 9).alias("distance"))
+    return phylo.patristic(phylo.closure(shared(spark, sf_dir)[2], 2)).select("a", "b", F.round("distance", 9).alias("distance"))
 
 
 @register("cluster")
 def cluster_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.agglomerate(cluster.pair_matrix(_shared(spark, sf_dir)[0]))
+    return cluster.agglomerate(cluster.pair_matrix(shared(spark, sf_dir)[0]))
 
 
 @register("group_nodes_below")
@@ -244,7 +171,7 @@ def group_nodes_below(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _random(model: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        occ = _shared(spark, sf_dir)[0]
+        occ = shared(spark, sf_dir)[0]
         made = model(occ, 3)
         base = occ.join(cube.labels(occ).select("label", "range"), "label").groupBy(F.col("grp").alias("proc")).agg(F.count("*").cast("double").alias("RICHNESS"), F.sum(1 / F.col("range")).alias("WE"))
         ranges = made.groupBy("iter", "label").agg(F.count("*").alias("range"))
