@@ -5,8 +5,11 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_TABLES: dict[str, list[str]] = {}
+#: Folders that table() has written, by application and owner; an owner's go together.
+_TABLES: dict[tuple[str, str], list[str]] = {}
+_OWNER: ContextVar[str] = ContextVar("owner", default="")
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,15 +40,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one of this machine, if Spark runs on this machine alone."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quadrat-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """What table() writes inside belongs to the owner."""
+    token = _OWNER.set(owner)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
+
+
 def table(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -51,14 +68,14 @@ def table(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     # The stored rows replace the shuffle files behind them; those go when the driver collects its garbage.
     spark.sparkContext._jvm.System.gc()
-    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _TABLES.setdefault((spark.sparkContext.applicationId, _OWNER.get()), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes what table() has written, once the results that read it are stored elsewhere."""
+def drop_tables(spark: SparkSession, owner: str) -> None:
+    """Deletes what table() has written for an owner, once the results that read it are stored elsewhere; other results keep their tables."""
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    for path in _TABLES.pop(spark.sparkContext.applicationId, []):
+    for path in _TABLES.pop((spark.sparkContext.applicationId, owner), []):
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(sc.hadoopConfiguration()).delete(at, True)
 
@@ -69,6 +86,7 @@ def partitions(spark: SparkSession) -> int:
 
 def release_memory() -> None:
     """Returns what a worker has freed to the system, for idle workers stay; does nothing where the C library can't."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

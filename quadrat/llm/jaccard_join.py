@@ -47,7 +47,7 @@ BLOCK_ROWS, BLOCK_SHINGLES = 1500, 1_000_000
 #: Sets whose signatures a task remembers to have sent, so that copies send none; also the frequent signatures it remembers.
 REMEMBERED = 200_000
 #: Shingles that a task holds together, and those of the senders of frequent signatures that it remembers.
-TOGETHER, SENDER_SHINGLES = 1_000_000, 4_000_000
+TOGETHER, SENDER_SHINGLES = 500_000, 2_000_000
 #: How often a signature comes among them to be frequent.
 OFTEN = 8
 #: Sets of a group that are compared by histograms in one piece, and pairs a set that may pass before blocks take over.
@@ -292,8 +292,9 @@ def _pass(docs: DataFrame, k: int, num: int) -> DataFrame:
             of = np.array(sids, np.int64)
             sig, owner, held, links = sender.split(of, sets, [made.signatures(s) for s in sets])
             sig = sig.view(np.int64)
-            # Plain integers without nulls keep the frames small.
-            yield block(int((~held).sum()), SENT, key=sig[~held], sid=of[owner[~held]])
+            key, sent = sig[~held], of[owner[~held]]
+            for at in range(0, len(key), 200_000):
+                yield block(len(key[at : at + 200_000]), SENT, key=key[at : at + 200_000], sid=sent[at : at + 200_000])
             if held.any():
                 yield block(int(held.sum()), HELD, key=own_keys(int(held.sum())), sid=of[owner[held]], other=sig[held])
             if links:
