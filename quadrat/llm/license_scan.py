@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -49,8 +50,9 @@ def postfix(expression: str) -> list[str]:
     """Shunting-yard order of an expression; parts that don't fit are left out, so any text has a result."""
     out: list[str] = []
     held: list[str] = []
-    operand = False
-    for t in re.findall(r"[()]|[A-Za-z0-9.+:-]+", expression):
+    operand, open_ = False, 0
+    for found in re.finditer(r"[()]|[A-Za-z0-9.+:-]+", expression):
+        t = found.group()
         low = t.lower()
         if low in _ORDER:
             if not operand:
@@ -63,12 +65,14 @@ def postfix(expression: str) -> list[str]:
             if operand:
                 break
             held.append(t)
+            open_ += 1
         elif t == ")":
-            if not operand or "(" not in held:
+            if not operand or not open_:
                 break
             while held[-1] != "(":
                 out.append(held.pop())
             held.pop()
+            open_ -= 1
         else:
             if operand:
                 break
@@ -120,22 +124,26 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
     phrases, tags = _automata()
     low = text.lower()
     words = low.translate(_SPACED).split()
-    flat = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    places, base, labels = [], set(), set()
+    joined = b" " + b" ".join(words) + b" "
+    flat = joined.decode("latin-1")
+    starts, base, labels = [], set(), set()
     for end, (phrase, label, size) in phrases.iter(flat):
         labels.add(label)
         if phrase in BASE:
             base.add(label)
-            # The phrase's first word follows as many spaces as there are words before it.
-            places.append(flat.count(" ", 0, end - size - 1))
+            starts.append(end - size - 1)
+    # The phrase's first word follows as many spaces as there are words before it; one pass counts them for all phrases.
+    places = np.searchsorted(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), starts).tolist() if starts else []
     # "cc by nc" also holds "cc by", which then says less than the text.
     if labels & {"cc-by-nc", "cc-by-sa", "cc-by-nd"}:
         labels.discard("cc-by")
     scores = [FREEDOM[x] for x in labels]
     if b"spdx-license" in low:
         plain = low.decode("latin-1")
-        for end, _ in tags.iter(plain):
-            line = plain[end + 1 :].split("\n", 1)[0] if len(plain) - end < 4096 else plain[end + 1 : plain.find("\n", end) if plain.find("\n", end) > 0 else None]
+        ends = [end + 1 for end, _ in tags.iter(plain)]
+        # An expression ends with its line, or where the next tag begins.
+        for at, following in zip(ends, [*(e - len(TAG) for e in ends[1:]), len(plain)], strict=False):
+            line = plain[at:following].split("\n", 1)[0]
             score, found = evaluate(line)
             if found:
                 scores.append(score)
@@ -154,7 +162,8 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     their smallest and largest start (null where there is none), score is the
     freedom under the strictest licence stated, 0 where none is.  A null or
     empty text has no words and empty labels; repeated rows are scanned alike;
-    an empty table gives no rows; other columns are left out.
+    an empty table gives no rows; texts of any length are scanned whole, in time
+    that grows with their length; other columns are left out.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -336,3 +337,38 @@ def test_pipeline(spark, tmp_path, docs):
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     rows = corpus_pipeline.run(spark, str(tmp_path))
     assert rows.count() and rows.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_long_texts_take_time_in_proportion():
+    """A long text's work grows with its length: 2 MB each."""
+    began = time.process_time()
+    phrases = b"under the mit license here " * 75_000
+    got = license_scan.scan(phrases)
+    assert (got[0], got[1], got[2], got[3]) == (375_000, 75_000, 2, 374_997)
+    tags = b"SPDX-License-Identifier: MIT " * 70_000
+    assert license_scan.scan(tags)[5] == "mit"
+    deep = b"SPDX-License-Identifier: " + b"(" * 1_000_000 + b"MIT" + b")" * 1_000_000
+    assert license_scan.scan(deep)[5] == "mit"
+    h = np.arange(50_000)
+    marks = [{"shift": 0, "at": int(k), "least": 2} for k in h[:-1]]
+    assert line_dedup._covered(h, h, marks).all()
+    same = np.zeros(3000, np.int64)
+    assert line_dedup._covered(same, same, [{"shift": k, "at": k, "least": 2} for k in range(1, 2999)]).sum() == 2999
+    enc = bpe.encoder(tokenizer_path("byte_bpe_50k.json"))
+    word = "abcdefgh" * 250_000
+    assert enc.decode(enc.encode(word)) == word.encode() and not any(len(s) > bpe.LONGEST for s in enc.cache)
+    model = token_counts.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    model.count(["ab" * 100_000])
+    assert model.counts.pop("ab" * 100_000) > 0
+    assert quality.measures(word.encode())[0]["n_words"] == 1
+    assert len(jaccard_join.shingle_sets([b"a b c d e f " * 300_000], 5)[0]) == 6
+    encode, _ = lm_score.subwords(tokenizer_path("byte_bpe_50k.tiktoken"))
+    assert encode(word.encode())
+    assert time.process_time() - began < 60
+
+
+def test_line_dedup_of_many_lines(spark):
+    text = "\n".join(f"line {i} of it" for i in range(50_000))
+    rows = spark.createDataFrame([(1, text), (2, "first\n" + text + "\nlast"), (3, "word " * 400_000)], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: (r["n_gone"], r["text"]) for r in line_dedup.dedup_lines(rows).collect()}
+    assert got == {1: (0, text), 2: (50_000, "first\nlast"), 3: (0, "word " * 400_000)}
