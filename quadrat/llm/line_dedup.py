@@ -5,10 +5,16 @@ the smaller hash is selected, and every line of many words is; any run of two
 or more lines that two texts share then holds a selected line in both.  A
 selected line is joined with the first place that has it beside the same
 neighbour; from there the match is extended both ways, and the later run goes.
+Runs are of two lines at least, so windows are of two: with wider ones, short
+runs would have no guaranteed fingerprint.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,28 +55,56 @@ def repeated_lines(rows: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     # A key's first place, by partial aggregation, so a line that a third of the texts hold is one row a task.
     first = prints.groupBy("key").agg(F.min(F.struct("ord", "rid", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("key", "f")
     found = prints.join(first, "key").where("struct(ord, rid, at) <> f").select("rid", "at", "least", F.col("f.rid").alias("first_rid"), F.col("f.at").alias("first_at"))
-    # Extension: both line sequences meet, and equal lines to the left and right of the join are counted.
+    # Extension: both line sequences meet, and equal lines to the left and right of each join are followed to where they end.
+    marks = found.groupBy("rid", "first_rid").agg(F.sort_array(F.collect_set(F.struct((F.col("at") - F.col("first_at")).alias("shift"), "at", "least"))).alias("m"))
     a = seqs.select("rid", F.col("h").alias("a"), "i")
     b = seqs.select(F.col("rid").alias("first_rid"), F.col("h").alias("b"))
-    found = found.groupBy("rid", "first_rid").agg(F.collect_set(F.struct("at", "first_at", "least")).alias("m")).join(a, "rid").join(b, "first_rid")
-
-    def run(m: Column) -> Column:
-        x, y = m["at"], m["first_at"]
-        differ = lambda k: ~F.get("a", (x + k).cast("int")).eqNullSafe(F.get("b", (y + k).cast("int")))
-        right = F.least(F.size("a") - x, F.size("b") - y)
-        left = F.least(x, y)
-        stop = lambda steps: F.coalesce(F.get(F.filter(steps, differ), F.lit(0)), F.lit(None))
-        ahead = F.coalesce(stop(F.sequence(F.lit(0), right)), right)
-        back = F.when(left > 0, F.coalesce(-stop(F.sequence(F.lit(-1), -left)) - 1, left)).otherwise(F.lit(0))
-        lo, hi = x - back, x + ahead
-        return F.struct(lo.alias("lo"), hi.alias("hi"), m["least"].alias("least"))
-
-    runs = F.filter(F.transform("m", run), lambda r: r["hi"] - r["lo"] >= r["least"])
-    gone = F.flatten(F.transform(runs, lambda r: F.slice("i", r["lo"] + 1, r["hi"] - r["lo"])))
-    out = found.select("rid", F.array_distinct(gone).alias("gone"))
+    pairs = marks.join(a, "rid").join(b, "first_rid")
+    ids = pairs.schema["rid"].dataType.simpleString()
+
+    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            gone = [i[_covered(x, y, m)] for i, x, y, m in zip(batch["i"], batch["a"], batch["b"], batch["m"], strict=True)]
+            yield pd.DataFrame({"rid": batch["rid"], "gone": gone})
+
+    out = pairs.select("rid", "i", "a", "b", "m").mapInPandas(extend, f"rid {ids}, gone array<int>")
     return out.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
+def _covered(a: np.ndarray, b: np.ndarray, marks: list[dict]) -> np.ndarray:
+    """Whether each line of a lies in a run that it shares with b, of as many lines as its mark asks for at least.
+
+    marks(shift, at, least) are sorted: line `at` of a equals line at - shift of
+    b.  A run is followed once, in growing steps, whichever of its marks is met.
+    """
+    step = np.zeros(len(a) + 1, np.int64)
+    done, old = -1, None
+    for m in marks:
+        shift, at, least = m["shift"], m["at"], m["least"]
+        if shift != old:
+            done, old, lo = -1, shift, 0
+        if at >= done:
+            back = _equal_steps(a[at - 1 :: -1] if at else a[:0], b[at - shift - 1 :: -1] if at > shift else b[:0])
+            ahead = _equal_steps(a[at:], b[at - shift :])
+            lo, done = at - back, at + ahead
+        if done - lo >= least:
+            step[lo] += 1
+            step[done] -= 1
+    return np.cumsum(step[:-1]) > 0
+
+
+def _equal_steps(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements of two arrays agree from their beginning on."""
+    n, at, size = min(len(x), len(y)), 0, 16
+    while at < n:
+        end = min(n, at + size)
+        differ = x[at:end] != y[at:end]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, size = end, size * 4
+    return n
+
+
 def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """Each row of docs as struct ``row`` with the text without later repeated runs of lines, n_lines and n_gone.
 
@@ -79,7 +113,8 @@ def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     then by the text's hash), or further up in the same text.  Lines are compared without the white
     space around them, and lines without words don't count.  The first run
     stays.  A null text stays null; rows that repeat doc_id and text are one
-    document; an empty table gives no rows; columns keep their names in ``row``.
+    document; an empty table gives no rows; columns keep their names in ``row``;
+    texts of any number of lines, and lines of any length, are handled whole.
     """
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64("text").alias("t"), "text")
     rid = F.struct("d", "t")
@@ -87,5 +122,7 @@ def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     gone = repeated_lines(seqs, long_words).select("rid.d", "rid.t", "gone")
     rows = rows.join(gone, ["d", "t"], "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.transform(F.filter(F.arrays_zip(lines.alias("s"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i")), lambda x: ~F.array_contains("gone", x["i"])), lambda x: x["s"]), "\n")
+    # array_except looks numbers up in a set, so the work grows with the lines.
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    kept = let(lines, lambda s: F.array_join(F.transform(left, lambda i: F.get(s, i)), "\n"))
     return rows.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_gone"))
