@@ -26,6 +26,8 @@ from quadrat.llm.common import release_memory, texts
 
 #: Entries of a worker's table of strings that are encoded already.  When it is full the older half, which holds the frequent ones, stays.
 CACHE = 200_000
+#: Characters of a string that is kept there; longer ones are encoded anew.
+LONGEST = 256
 
 
 def _byte_chars() -> dict[str, int]:
@@ -194,14 +196,18 @@ class Encoder:
         """Encodes the pre-tokens that the cache lacks."""
         if len(self.cache) >= CACHE // 2:
             self.cache = dict(islice(self.cache.items(), CACHE // 4))
-        new = list({s for s in strings if s not in self.cache})
+        new = list({s for s in strings if len(s) <= LONGEST and s not in self.cache})
         for s, ids in zip(new, self.encode_pieces([s.encode() for s in new]), strict=True):
             self.cache[s] = np.array(ids, np.int32).tobytes()
 
+    def _ids(self, s: str) -> bytes:
+        """Ids of a pre-token that _learn has seen."""
+        return self.cache[s] if len(s) <= LONGEST else np.array(self.encode_bytes(s.encode()), np.int32).tobytes()
+
     def _plain(self, text: str) -> bytes:
         found = self.pattern.findall(text)
         self._learn(found)
-        return b"".join(map(self.cache.__getitem__, found))
+        return b"".join(map(self._ids, found))
 
     def _parts(self, text: str) -> list[tuple[str, list[str] | None] | int]:
         """Pieces of a text that are encoded apart: special tokens, and strings with the runs that follow them at single spaces.
@@ -235,11 +241,11 @@ class Encoder:
         for text in parts:
             for part in text:
                 if not isinstance(part, int):
-                    new.update(set(part[1]).difference(runs))
+                    new.update(s for s in set(part[1]).difference(runs) if len(s) <= LONGEST)
         split = {s: find(" " + s) for s in new}
         self._learn(p for s in split.values() for p in s)
         for s, found in split.items():
-            runs[s] = b"".join(map(self.cache.__getitem__, found))
+            runs[s] = b"".join(map(self._ids, found))
         out = []
         for text in parts:
             got = []
@@ -248,7 +254,7 @@ class Encoder:
                     got.append(np.int32(part).tobytes())
                 else:
                     got.append(self._plain(part[0]))
-                    got += map(runs.__getitem__, part[1])
+                    got += [runs[s] if len(s) <= LONGEST else self._plain(" " + s) for s in part[1]]
             out.append(np.frombuffer(b"".join(got), np.int32))
         return out
 

@@ -25,6 +25,8 @@ from quadrat.llm.common import texts
 CACHE = 400_000
 #: Characters of a pre-token up to which all of a depth are scored at once.
 LEVELS = 64
+#: Characters up to which a pre-token's nodes and count are kept.
+LONGEST = 1024
 
 
 class Unigram:
@@ -133,7 +135,9 @@ class Unigram:
                                 s += score
                                 if s > best or s == best and k + 1 < n:
                                     best, n = s, k + 1
-                    child = node[0][c] = [{}, best, n, live]
+                    child = [{}, best, n, live]
+                    if len(token) <= LONGEST:
+                        node[0][c] = child
                 node = child
             self.counts[token] = node[2]
 
@@ -176,6 +180,9 @@ def count_documents(docs: DataFrame, path: str) -> DataFrame:
                 model.count(list(new))
                 get = model.counts.__getitem__
                 rows += [(i, len(w), sum(map(get, w))) for i, w in zip(part["doc_id"], words, strict=True)]
+                for x in new:
+                    if len(x) > LONGEST:
+                        del known[x]
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_tokens"]).astype({"doc_id": "Int64"})
 
     return texts(docs).mapInPandas(run, "doc_id long, n_words long, n_tokens long")
