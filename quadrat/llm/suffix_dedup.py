@@ -33,6 +33,8 @@ ANCHOR = 32
 #: Segments of an array, and of an anchor; windows of anchors beyond are compared one by one.
 BUCKET_SEGMENTS = 4000
 ANCHOR_SEGMENTS = 2000
+#: Anchors that a task holds together.
+TOGETHER = 400_000
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
@@ -212,23 +214,30 @@ def repeated_spans(rows: DataFrame, least: int = LEAST, k: int = ANCHOR, bucket_
                 h, m, place, lo, hi = anchors(text, least, k)
                 out.append((h.view(np.int64), m.view(np.int64), np.full(len(h), did, np.int64), place << 16 | (place - lo) << 8 | (hi - lo)))
                 size += len(h)
-                if size > 50_000:
-                    yield frame(out)
+                if size > TOGETHER:
+                    yield from frames(out)
                     out, size = [], 0
             if size:
-                yield frame(out)
-
-    def frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("h", "m", "did", "at"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
-
-    found = rows.where(F.length("text") >= least).mapInPandas(find, "h long, m long, did long, at long")
+                yield from frames(out)
+
+    def frames(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
+        """Of equal segments that a task holds together the first is sent under its anchor; the others are repeats already and go their own way."""
+        h, m, did, at = map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((at, did, m, h))
+        h, m, did, at = (x[order] for x in (h, m, did, at))
+        again = np.r_[False, (h[1:] == h[:-1]) & (m[1:] == m[:-1])]
+        for a in range(0, len(h), 100_000):
+            b = slice(a, a + 100_000)
+            yield pd.DataFrame({"h": np.where(again[b], did[b] ^ at[b] << 20, h[b]), "m": m[b], "did": did[b], "at": at[b], "again": again[b]})
+
+    found = rows.where(F.length("text") >= least).mapInPandas(find, "h long, m long, did long, at long, again boolean")
     # One exchange: anchors that occur once go; of segments with equal anchor and bytes (128 bits of hash) the first stays.
-    same = Window.partitionBy("h")
+    same = Window.partitionBy("h", "again")
     found = found.select(
-        "h", "did", "at", F.count("*").over(same).alias("c"), (F.min("m").over(same) != F.max("m").over(same)).alias("mixed"),
-        F.row_number().over(Window.partitionBy("h", "m").orderBy("did", "at")).alias("nth"),
-    ).where("c > 1 and (mixed or nth > 1)")
-    marks = table(found.select(F.when(F.col("nth") == 1, F.col("h")).alias("h"), "did", "at"))
+        "h", "did", "at", "again", F.count("*").over(same).alias("c"), (F.min("m").over(same) != F.max("m").over(same)).alias("mixed"),
+        F.row_number().over(Window.partitionBy("h", "again", "m").orderBy("did", "at")).alias("nth"),
+    ).where("again or c > 1 and (mixed or nth > 1)")
+    marks = table(found.select(F.when((F.col("nth") == 1) & ~F.col("again"), F.col("h")).alias("h"), "did", "at"))
     low = F.shiftright("at", 16) - F.shiftright("at", 8).bitwiseAND(F.lit(255))
     equal = marks.where("h is null").select("did", low.alias("lo"), (low + F.col("at").bitwiseAND(F.lit(255)) + least).alias("hi"))
     lists = marks.where("h is not null").groupBy("did").agg(F.collect_list(F.struct("h", "at")).alias("a"))
@@ -260,18 +269,27 @@ def repeated_spans(rows: DataFrame, least: int = LEAST, k: int = ANCHOR, bucket_
     parts = mixed.where(F.col("c") <= anchor_segments).groupBy("bucket").applyInPandas(expand, spans)
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each window of a segment, as two hashes of its bytes."""
+        """Each window of a segment, as a hash of its bytes; of equal ones in a batch all but the first are repeats already."""
         for batch in batches:
-            out = []
+            first: dict[bytes, tuple[int, int]] = {}
+            again = []
             for did, lo, piece in zip(batch["did"], batch["lo"], batch["piece"], strict=True):
                 for o in range(len(piece) - least + 1):
                     key = hashlib.blake2b(piece[o : o + least], digest_size=16).digest()
-                    out.append((key, did, lo + o))
-            yield pd.DataFrame(out, columns=["key", "did", "lo"])
-
-    many = mixed.where(F.col("c") > anchor_segments).mapInPandas(windows, "key binary, did long, lo long")
-    low = many.groupBy("key").agg(F.min(F.struct("did", "lo")).alias("one"), F.count("*").alias("c")).where("c > 1").select("key", "one")
-    hot = many.join(low, "key").where("struct(did, lo) <> one").select("did", "lo", (F.col("lo") + least).alias("hi"))
+                    here = did, lo + o
+                    old = first.get(key)
+                    if old is None:
+                        first[key] = here
+                    else:
+                        first[key] = min(old, here)
+                        again.append(max(old, here))
+            yield pd.DataFrame([(k, *v) for k, v in first.items()] + [(None, *v) for v in again], columns=["key", "did", "lo"])
+
+    many = table(mixed.where(F.col("c") > anchor_segments).mapInPandas(windows, "key binary, did long, lo long"))
+    sent = many.where("key is not null")
+    low = sent.groupBy("key").agg(F.min(F.struct("did", "lo")).alias("one"), F.count("*").alias("c")).where("c > 1").select("key", "one")
+    hot = sent.join(low, "key").where("struct(did, lo) <> one").select("did", "lo").union(many.where("key is null").select("did", "lo"))
+    hot = hot.select("did", "lo", (F.col("lo") + least).alias("hi"))
     return whole.union(equal).union(parts).union(hot)
 
 
