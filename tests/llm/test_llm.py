@@ -93,6 +93,63 @@ def test_order_minhash(docs):
     assert 0.02 < np.mean([r["near_edited"] for r in long]) < 0.5 and np.mean([r["near_next"] for r in long]) < 0.05
 
 
+def _brute_fingerprint(text, k=5, l=2, m=64):
+    """The same fingerprint in plain Python, with Spark's xxhash64."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    one = lambda b, seed: signed(xxhash.xxh64_intdigest(b, seed & (1 << 64) - 1))
+    number = lambda x, seed=42: one((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+
+    def many(xs):
+        h = 42
+        for x in xs:
+            h = number(x, h)
+        return h
+
+    small = lambda x, seed: one((x & (1 << 32) - 1).to_bytes(4, "little"), seed)
+    words = [one(w, 42) for w in (text or "").encode().split()]
+    if not words:
+        return ""
+    pos = (1 << 26) - 1
+    kmers = [(many(words[i : i + k]) & ~pos, i) for i in range(max(1, len(words) - k + 1))]
+    seen: Counter = Counter()
+    numbered = []
+    for h, i in kmers:
+        numbered.append((small(seen[h], number(h >> 26)) & ~pos, i))
+        seen[h] += 1
+
+    def components(items, n):
+        step, out = (1 << 64) // n, []
+        items = sorted((h | i) for h, i in items)
+        for b in range(n):
+            point = (-(1 << 63) + b * step) & ~pos | pos
+            start = sum(x < point for x in items)
+            picked = [items[(start + j) % len(items)] for j in range(l)]
+            out.append(many([(x & (1 << 64) - 1) >> 26 for x in sorted(picked, key=lambda x: x & pos)]))
+        return out
+
+    if len(numbered) < order_minhash.FEW:
+        got = []
+        for seed in range(order_minhash.ORDERS):
+            again = [(small(seed, number((h & (1 << 64) - 1) >> 26)) & ~pos, i) for h, i in numbered]
+            got += components(again, m // order_minhash.ORDERS)
+    else:
+        got = components(numbered, m)
+    return "".join(f"{x & 0xFFFF:04x}" for x in got)
+
+
+def test_order_minhash_equals_brute_force(docs):
+    rows = {r["doc_id"]: r for r in order_minhash.fingerprint_documents(docs).collect()}
+    share = lambda a, b: 1.0 if a == b else 0.0 if not a or not b else sum(a[i : i + 4] == b[i : i + 4] for i in range(0, 256, 4)) / 64
+    for i, t in enumerate(TEXTS):
+        t, other, r = t or "", TEXTS[i - 1] or "", rows[i]
+        half = len(t) // 2
+        mine, edited = _brute_fingerprint(t), _brute_fingerprint(t[: len(t) - half] + other[:half])
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (mine, edited)
+        assert (r["near_edited"], r["near_next"]) == (share(mine, edited), share(mine, _brute_fingerprint(other)))
+
+
 def test_order_matters_to_fingerprints(spark):
     a, b = _sentence(100), _sentence(100)
     df = spark.createDataFrame([(a + " " + b, b + " " + a)], "x string, y string")
