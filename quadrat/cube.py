@@ -38,13 +38,13 @@ def from_wide(rows: DataFrame, group: str, label_columns: Sequence[str]) -> Data
     return long.where("n is not null and n <> 0").groupBy("grp", "label").agg(F.sum(F.col("n").cast("double")).alias("n"))
 
 
-def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """occ of the order tables: cells of 5 suppliers by 6 months of shipping, labels brand:type, n the quantity."""
+def canonical(spark: SparkSession, sf_dir: str, count: bool = True) -> DataFrame:
+    """occ of the order tables: cells of 5 suppliers by 6 months of shipping, labels brand:type, n the quantity, or the number of lines."""
     line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     months = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1
     rows = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return from_records(rows, [bin_index(F.col("l_suppkey"), 5), bin_index(months, 6)], [F.col("p_brand"), F.col("p_type")], F.col("l_quantity"))
+    return from_records(rows, [bin_index(F.col("l_suppkey"), 5), bin_index(months, 6)], [F.col("p_brand"), F.col("p_type")], F.col("l_quantity") if count else None)
 
 
 def groups(occ: DataFrame) -> DataFrame:

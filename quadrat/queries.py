@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import math
 from collections.abc import Callable
 
@@ -184,3 +185,6 @@ def _random(model: Callable[..., DataFrame]) -> Callable[[SparkSession, str], Da
 
 for _name, _model in (("rand_csr_by_group", randomise.csr_by_group), ("rand_curveball", randomise.curveball), ("rand_independent_swaps", randomise.independent_swaps), ("rand_structured", randomise.structured)):
     register(_name)(_random(_model))
+
+for _module in ("lists", "estimators"):
+    importlib.import_module(f"quadrat.plans.{_module}")
