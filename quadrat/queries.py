@@ -108,17 +108,6 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SIZES = "WITH z AS (SELECT CAST(CAST(floor(l_suppkey / 5) AS BIGINT) AS VARCHAR) AS grp, CAST(p_size AS DOUBLE) AS v, sum(l_quantity) AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
-_MOMENTS = "sum(w) AS n, sum(v * w) / sum(w) AS m, sum(v * v * w) AS q, min(v) AS lo, max(v) AS hi, sum(w / v) AS h, sum(w * ln(v)) AS g"
-_NUMERIC = {"NUM_N": "n", "NUM_MEAN": "m", "NUM_SD": "sqrt((q - n * m * m) / nullif(n - 1, 0))", "NUM_MIN": "lo", "NUM_MAX": "hi", "NUM_RANGE": "hi - lo", "NUM_CV": "sqrt((q - n * m * m) / nullif(n - 1, 0)) / nullif(m, 0)", "NUM_HMEAN": "n / nullif(h, 0)", "NUM_GMEAN": "exp(g / nullif(n, 0))"}
-
-
-@register("calc_numeric_label_stats", f"{_SIZES}, s AS (SELECT grp, {_MOMENTS} FROM z GROUP BY 1) SELECT grp, {', '.join(f'round({e}, 6) AS {i}' for i, e in _NUMERIC.items())} FROM s")
-def calc_numeric_label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moments = [F.expr(e) for e in _MOMENTS.split(", ")]
-    s = _sizes(spark, sf_dir).groupBy("grp").agg(*moments)
-    return s.select("grp", *[F.round(F.expr(e), 6).alias(i) for i, e in _NUMERIC.items()])
-
-
 @register("calc_num_labels_gistar", f"{_SIZES}, t AS (SELECT sum(w) AS n, sum(v * w) / sum(w) AS m, sqrt((sum(v * v * w) - sum(v * w) * sum(v * w) / sum(w)) / (sum(w) - 1)) AS sd FROM z) SELECT grp, round((sum(v * w) - sum(w) * max(m)) / (max(sd) * sqrt((max(n) * sum(w) - sum(w) * sum(w)) / (max(n) - 1))), 6) AS NUM_GISTAR FROM z, t GROUP BY 1")
 def calc_num_labels_gistar(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = _sizes(spark, sf_dir)
@@ -186,5 +175,5 @@ def _random(model: Callable[..., DataFrame]) -> Callable[[SparkSession, str], Da
 for _name, _model in (("rand_csr_by_group", randomise.csr_by_group), ("rand_curveball", randomise.curveball), ("rand_independent_swaps", randomise.independent_swaps), ("rand_structured", randomise.structured)):
     register(_name)(_random(_model))
 
-for _module in ("lists", "estimators"):
+for _module in ("lists", "estimators", "properties"):
     importlib.import_module(f"quadrat.plans.{_module}")
