@@ -16,7 +16,10 @@ No candidate becomes a link before it is verified:
    with the others: first the L1 distance of two small histograms of features,
    which bounds the difference from below, then the sets themselves.
 2. Sets that are linked so far are components.  A group whose sets all lie in
-   one component is done.  In the others all pairs of different components are
+   one component is done.  In the others each set outside of the largest
+   component is compared with the one of another component whose histogram is
+   nearest, which joins most of them.
+3. In groups that still have several components all pairs of different ones are
    looked at, histograms first; of groups where many pairs pass, sets are cut
    into blocks and a kernel for each pair of blocks returns spanning links.
 
@@ -54,7 +57,7 @@ OFTEN = 8
 GROUP_ROWS, PAIRS_A_SET = 20_000, 4
 #: Rows of one set in a task of the join that verifies pairs.
 SALT_ROWS = 1000
-BINS = 128
+BINS = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -182,6 +185,18 @@ def group_pairs(comps: np.ndarray, sizes: np.ndarray, bins: np.ndarray, num: int
     return out
 
 
+def nearest_pairs(comps: np.ndarray, sizes: np.ndarray, bins: np.ndarray, num: int) -> list[tuple[int, int]]:
+    """For each set outside of the group's largest component, the set of another component that may be similar and has the nearest histogram."""
+    names, count = np.unique(comps, return_counts=True)
+    bins = bins.astype(np.int16)
+    out = []
+    for r in np.flatnonzero(comps != names[count.argmax()]).tolist():
+        among = _near(sizes, bins, r, np.flatnonzero(comps != comps[r]), num)
+        if len(among):
+            out.append((r, int(among[np.abs(bins[among] - bins[r]).sum(1, dtype=np.int64).argmin()])))
+    return out
+
+
 def spanning_links(ids: list[int], sets: list[np.ndarray], num: int, side: np.ndarray | None = None, comps: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that, with the components known, span those of the sets' similarity graph; with side, only links between its two values are looked for."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
@@ -379,24 +394,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
     return salted.join(one, ["a", "part"]).join(two, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
-def _open_pairs(members: DataFrame, num: int, pairs_a_set: int) -> DataFrame:
-    """(a, b, dense) of members(key, sid, comp, n, bins, c): pairs of different components in a group that may be similar, or the key of a group with many."""
+def _open_pairs(members: DataFrame, num: int, pairs_a_set: float | None) -> DataFrame:
+    """(a, b, dense) of members(key, sid, comp, n, bins, c): pairs of different components in a group that may be similar, or the key of a group with many; without pairs_a_set the nearest pairs alone."""
     schema = "a long, b long, dense long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = None
+        left, sent = None, set()
         for batch in batches:
             if not len(batch):
                 continue
             left = batch if left is None else pd.concat([left, batch], ignore_index=True)
             key = left["key"].to_numpy()
             cut = int(np.searchsorted(key, key[-1]))
-            yield from made(left.iloc[:cut])
+            yield from made(left.iloc[:cut], sent)
             left = left.iloc[cut:]
         if left is not None:
-            yield from made(left)
+            yield from made(left, sent)
 
-    def made(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def made(rows: pd.DataFrame, sent: set[tuple[int, int]]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         many: list[int] = []
         key, sid, comp, n = (rows[c].to_numpy() for c in ("key", "sid", "comp", "n"))
@@ -405,11 +420,16 @@ def _open_pairs(members: DataFrame, num: int, pairs_a_set: int) -> DataFrame:
         for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
             # A set that several tasks have sent is here several times.
             at = a + np.unique(sid[a:b], return_index=True)[1]
-            pairs = group_pairs(comp[at], n[at], bins[at], num, pairs_a_set * len(at))
+            pairs = nearest_pairs(comp[at], n[at], bins[at], num) if pairs_a_set is None else group_pairs(comp[at], n[at], bins[at], num, pairs_a_set * len(at))
             if pairs is None:
                 many.append(key[a])
-            else:
-                out += [(sid[at[i]], sid[at[j]]) for i, j in pairs]
+                continue
+            # A pair that shares several signatures goes once.
+            new = {(min(x, y), max(x, y)) for x, y in ((int(sid[at[i]]), int(sid[at[j]])) for i, j in pairs)} - sent
+            out += new
+            if len(sent) > REMEMBERED:
+                sent.clear()
+            sent |= new
         # Nulls among plain integers would make them floats.
         none = lambda n: pd.array([None] * n, "Int64")
         yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"]).assign(dense=none(len(out)))
@@ -438,6 +458,18 @@ def _dense_links(members: DataFrame, sets: DataFrame, num: int, block_rows: int)
     return rows.groupBy("key", "b1", "b2").applyInPandas(kernel, "a long, b long")
 
 
+def _open_groups(sent: DataFrame, held: DataFrame, comps: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(key, sid, comp, n, bins, c): the sets of groups of three or more that have several components; the pair of smaller ones is known."""
+    of = lambda rows: rows.join(comps, "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+    still = of(sent.select("key", "sid", "c")).groupBy("key").agg(F.max("c").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "c")
+    # Signatures held back lie in their first holder's component.
+    back = held.select(F.col("other").alias("key"), "sid").join(still.drop("c"), "key")
+    more = back.groupBy("key").agg(F.count("*").alias("more"))
+    still = still.join(more, "key", "left").select("key", (F.col("c") + F.coalesce("more", F.lit(0))).alias("c")).where("c > 2")
+    members = of(sent.select("key", "sid").union(back.select("key", "sid"))).join(still, "key").join(sketch.select("sid", "n", "bins"), "sid")
+    return members.select("key", "sid", "comp", "n", "bins", "c")
+
+
 def similar_sets(docs: DataFrame, k: int, num: int, block_rows: int = BLOCK_ROWS, pairs_a_set: int = PAIRS_A_SET) -> tuple[DataFrame, DataFrame]:
     """(base, components): base(doc_id, tie, n_shingles, sid) has a row for each row of docs, components(sid, component) one for each set that is linked with another."""
     found = _pass(docs, k, num)
@@ -455,22 +487,18 @@ def similar_sets(docs: DataFrame, k: int, num: int, block_rows: int = BLOCK_ROWS
     links = _verified(stars, table(_sets_of(docs, k, ends(stars), sketch)), num).union(met.select("sid", "other"))
     comps = table(connected_components(links).select(F.col("node").alias("sid"), "component"))
 
-    # Groups of three or more with several components: their pairs beside those with the least set.
-    of = lambda rows: rows.join(comps, "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
-    several = of(sent.select("key", "sid", "c"))
-    still = several.groupBy("key").agg(F.max("c").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "c")
-    back = held.select(F.col("other").alias("key"), "sid").join(still.drop("c"), "key")
-    back_sizes = back.groupBy("key").agg(F.count("*").alias("more"))
-    still = still.join(back_sizes, "key", "left").select("key", (F.col("c") + F.coalesce("more", F.lit(0))).alias("c")).where("c > 2")
-    members = of(sent.select("key", "sid").union(back.select("key", "sid"))).join(still, "key").join(sketch.select("sid", "n", "bins"), "sid")
-    members = table(members.select("key", "sid", "comp", "n", "bins", "c"))
-    opened = table(_open_pairs(members, num, pairs_a_set).distinct())
-    pairs, dense = opened.where("dense is null").select("a", "b"), opened.where("dense is not null").select(F.col("dense").alias("key"))
-    if opened.limit(1).count():
+    for limit in (None, pairs_a_set):
+        members = table(_open_groups(sent, held, comps, sketch))
+        opened = table(_open_pairs(members, num, limit).distinct())
+        if not opened.limit(1).count():
+            continue
+        pairs, dense = opened.where("dense is null").select("a", "b"), opened.where("dense is not null").select(F.col("dense").alias("key"))
         crowd = members.join(dense, "key", "left_semi").select("key", "sid", "comp", "n")
         sets = table(_sets_of(docs, k, ends(pairs).union(crowd.select("sid")), sketch))
-        more = _verified(pairs, sets, num).union(_dense_links(crowd, sets, num, block_rows))
-        comps = connected_components(comps.select(F.col("sid").alias("a"), F.col("component").alias("b")).union(more)).select(F.col("node").alias("sid"), "component")
+        more = _verified(pairs, sets, num)
+        if limit is not None:
+            more = more.union(_dense_links(crowd, sets, num, block_rows))
+        comps = table(connected_components(comps.select(F.col("sid").alias("a"), F.col("component").alias("b")).union(more)).select(F.col("node").alias("sid"), "component"))
     return base.drop("bins"), comps
 
 
