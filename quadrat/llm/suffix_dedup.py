@@ -34,7 +34,7 @@ ANCHOR = 32
 BUCKET_SEGMENTS = 4000
 ANCHOR_SEGMENTS = 2000
 #: Anchors that a task holds together.
-TOGETHER = 400_000
+TOGETHER = 100_000
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
