@@ -25,6 +25,7 @@ class Condition:
     #: Expression over the axes that is equal for centre and candidate where the test holds.
     key: Callable[[str], Column] | None = None
     kind: str = "complex"
+    names: DataFrame | None = None
 
     def __and__(self, other: Condition) -> Condition:
         reach = min((r for r in (self.reach, other.reach) if r is not None), default=None)
@@ -101,7 +102,9 @@ def right_of(angle: float = 0.0) -> Condition:
 
 
 def in_line_with(angle: float = 0.0) -> Condition:
-    return Condition(lambda: _across(angle) == 0)
+    """Equal places across the line; they are the key of the join."""
+    at = lambda s: F.round(F.col(f"{s}.x") * math.cos(angle) - F.col(f"{s}.y") * math.sin(angle), 9)
+    return Condition(lambda: at("c") == at("b"), None, at)
 
 
 def match_text(text: str, axis: int) -> Condition:
@@ -124,18 +127,52 @@ def redundancy_greater_than(threshold: float) -> Condition:
     return Condition(lambda: F.col("b.redundancy") > threshold)
 
 
+def polygon_test(x: Column, y: Column, points: list[tuple[float, float]]) -> Column:
+    """Ray casting over a polygon's edges, as one expression."""
+    crossings = F.lit(0)
+    for (x1, y1), (x2, y2) in zip(points, points[1:] + points[:1], strict=True):
+        if y1 != y2:
+            hit = ((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+            crossings = crossings + hit.cast("int")
+    return crossings % 2 == 1
+
+
 def in_polygon(points: list[tuple[float, float]]) -> Condition:
-    """Ray casting over the polygon's edges, as one expression."""
+    return Condition(lambda: polygon_test(F.col("b.x"), F.col("b.y"), points))
+
+
+def same_polygon(shapes: list[list[tuple[float, float]]]) -> Condition:
+    """Centre and candidate lie in the same of some polygons, the first that holds each; the polygon is the key of the join."""
+
+    def key(side: str) -> Column:
+        inside = [F.when(polygon_test(F.col(f"{side}.x"), F.col(f"{side}.y"), p), i) for i, p in enumerate(shapes)]
+        return F.coalesce(*inside)
+
+    return Condition(lambda: key("c") == key("b"), None, key)
+
+
+def circle_cell(radius: float, size: tuple[float, float]) -> Condition:
+    """A circle whose radius counts cells of a size."""
 
     def test() -> Column:
-        x, y, crossings = F.col("b.x"), F.col("b.y"), F.lit(0)
-        for (x1, y1), (x2, y2) in zip(points, points[1:] + points[:1], strict=True):
-            if y1 != y2:
-                hit = ((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
-                crossings = crossings + hit.cast("int")
-        return crossings % 2 == 1
+        u, v = _D("x") / size[0], _D("y") / size[1]
+        return F.round(F.sqrt(u * u + v * v), 10) <= radius
+
+    return Condition(test, radius * max(size))
+
+
+def square_cell(width: float, size: tuple[float, float]) -> Condition:
+    return Condition(lambda: (_D("x") / size[0] <= width / 2) & (_D("y") / size[1] <= width / 2), width * max(size) / 2)
+
+
+def among(names: DataFrame) -> Condition:
+    """Candidates of names(grp), such as a label's range or the groups that passed an earlier query; neighbours() keeps them before it compares."""
+    return Condition(lambda: F.lit(True), kind="among", names=names)
+
 
-    return Condition(test)
+def same_key(keys: DataFrame) -> Condition:
+    """Centre and candidate have the same value in keys(grp, key), such as a cluster; groups without one match each other."""
+    return Condition(lambda: F.lit(True), kind="same", names=keys)
 
 
 def neighbours(groups: DataFrame, condition: Condition, definition: Condition | None = None) -> DataFrame:
@@ -143,7 +180,8 @@ def neighbours(groups: DataFrame, condition: Condition, definition: Condition |
 
     Equality keys join on themselves.  A bounded reach joins on coarse blocks
     of that size: a candidate is copied into the nine blocks around its own.
-    Only unbounded conditions compare each centre with each group.
+    Only unbounded conditions compare each centre with each group; what they ask
+    of the candidate alone is asked before, as the optimizer pushes it down.
     """
     c, b = groups.alias("c"), groups.alias("b")
     if definition is not None:
@@ -152,6 +190,11 @@ def neighbours(groups: DataFrame, condition: Condition, definition: Condition |
     if condition.kind == "self":
         return c.select(F.col("grp").alias("proc"), "grp")
     out = [F.col("c.grp").alias("proc"), F.col("b.grp").alias("grp")]
+    if condition.kind == "among":
+        return c.crossJoin(groups.join(condition.names.select("grp").distinct(), "grp", "left_semi").alias("b")).select(*out)
+    if condition.kind == "same":
+        k = groups.select("grp").join(condition.names, "grp", "left")
+        return c.select("grp").join(k, "grp").select(F.col("grp").alias("proc"), "key").alias("c").join(k.alias("b"), F.col("c.key").eqNullSafe(F.col("b.key"))).select("c.proc", "b.grp")
     if condition.key is not None:
         return c.join(b, (condition.key("c") == condition.key("b")) & condition.test()).select(*out)
     if condition.reach:
