@@ -16,6 +16,10 @@ from quadrat.operators import lists, phylo
 
 def ancestry(nodes: DataFrame, depth: int) -> DataFrame:
     """(node, anc, steps, length): each node with itself and all nodes above it; length is that of anc."""
+    return phylo.kept_closure("ancestry", nodes, depth, lambda: _ancestry(nodes, depth))
+
+
+def _ancestry(nodes: DataFrame, depth: int) -> DataFrame:
     up = nodes.select(F.col("node").alias("u"), F.col("parent").alias("p"), F.col("length").alias("l"))
     step = nodes.select("node", F.col("node").alias("anc"), "parent", "length", F.lit(0).alias("steps"))
     out = step

@@ -7,7 +7,8 @@ the distinct nodes on the paths of a neighbourhood's labels.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,35 @@ def label_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tips.unionByName(gone).unionByName(brands).unionByName(root)
 
 
+#: Closures of trees that many calculations share, by tree; they go when the tree does.
+_KEPT: WeakKeyDictionary[DataFrame, dict[tuple[str, int], DataFrame]] = WeakKeyDictionary()
+
+
+def keep_closures(nodes: DataFrame) -> DataFrame:
+    """The tree, whose closures are persisted from now on, the first time each is asked for."""
+    _KEPT[nodes] = {}
+    return nodes
+
+
+def drop_closures(nodes: DataFrame) -> None:
+    for kept in _KEPT.pop(nodes, {}).values():
+        kept.unpersist()
+
+
+def kept_closure(kind: str, nodes: DataFrame, depth: int, make: Callable[[], DataFrame]) -> DataFrame:
+    if nodes not in _KEPT:
+        return make()
+    if (kind, depth) not in _KEPT[nodes]:
+        _KEPT[nodes][kind, depth] = make().persist()
+    return _KEPT[nodes][kind, depth]
+
+
 def closure(nodes: DataFrame, depth: int) -> DataFrame:
     """paths of a tree whose tips are `depth` steps below the root at most; `depth` joins with a table of one row a node."""
+    return kept_closure("paths", nodes, depth, lambda: _closure(nodes, depth))
+
+
+def _closure(nodes: DataFrame, depth: int) -> DataFrame:
     tips = nodes.join(nodes.select(F.col("parent").alias("node")), "node", "left_anti")
     step = tips.select(F.col("node").alias("tip"), "node", "parent", "length", F.lit(0).alias("steps"))
     out = step

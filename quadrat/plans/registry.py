@@ -59,8 +59,12 @@ def shared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     if key not in KEPT:
         occ = cube.canonical(spark, sf_dir).persist()
         nbrs = conditions.two_sets(cube.groups(occ), conditions.self_only(), conditions.circle(1)).persist()
+        for kept in KEPT.values():
+            phylo.drop_closures(kept[2])
+            for old in kept:
+                old.unpersist()
         KEPT.clear()
-        KEPT[key] = occ, nbrs, phylo.label_tree(spark, sf_dir).persist()
+        KEPT[key] = occ, nbrs, phylo.keep_closures(phylo.label_tree(spark, sf_dir).persist())
     return KEPT[key]
 
 
