@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Elements that are clustered on the driver: the matrix of more would not fit there.
@@ -14,12 +14,17 @@ LINKAGES = ("link_average", "link_average_unweighted", "link_minimum", "link_max
 def pair_matrix(occ: DataFrame, index: str = "SORENSON", nbrs: DataFrame | None = None, digits: int = 8) -> DataFrame:
     """(e1, e2, value) with e1 < e2: SORENSON, JACCARD or S2 of each pair of groups, or of the pairs of nbrs(proc, grp) only.
 
-    Shared labels come from a join on the label, so a pair without one is not
+    Labels are numbered and a group's are packed as bits, 64 to a word; shared
+    ones come from a join on the word, so a pair without a word in common is not
     compared; its value is 1.
     """
     size = occ.groupBy("grp").agg(F.count("*").alias("v"))
-    a, b = occ.select(F.col("grp").alias("e1"), "label"), occ.select(F.col("grp").alias("e2"), "label")
-    shared = a.join(b, "label").where("e1 < e2").groupBy("e1", "e2").agg(F.count("*").alias("A"))
+    # One row a label meets in the window that numbers them.
+    number = occ.select("label").distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("label")))
+    bits = occ.join(number, "label").groupBy("grp", F.floor(F.col("i") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, i % 64)")).alias("bits"))
+    a, b = bits.select(F.col("grp").alias("e1"), "word", F.col("bits").alias("b1")), bits.select(F.col("grp").alias("e2"), "word", F.col("bits").alias("b2"))
+    held = a.join(b, "word").where("e1 < e2")
+    shared = held.groupBy("e1", "e2").agg(F.sum(F.bit_count(F.col("b1").bitwiseAND(F.col("b2")))).alias("A"))
     s1, s2 = size.select(F.col("grp").alias("e1"), F.col("v").alias("v1")), size.select(F.col("grp").alias("e2"), F.col("v").alias("v2"))
     if nbrs is None:
         pairs = s1.join(s2, F.col("e1") < F.col("e2"))

@@ -107,6 +107,7 @@ def structured(occ: DataFrame, count: int, seed: int = 1, multiplier: float = 1.
             # Every open group has the label: it takes another's place, which goes to the pool.
             full = [g for g in names if s not in held[g] and held[g]]
             if not full:
+                todo.append((s, n))
                 break
             g = full[rng.integers(len(full))]
             free = {x for o in names if len(held[o]) < target[o] for x in held[g] if x not in held[o]}
@@ -114,6 +115,10 @@ def structured(occ: DataFrame, count: int, seed: int = 1, multiplier: float = 1.
             out = out[rng.integers(len(out))]
             todo.insert(0, (out, held[g].pop(out)))
             held[g][s] = n
+        # What found no place within the attempts goes beyond a target rather than away.
+        for s, n in todo:
+            g = min((g for g in names if s not in held[g]), key=lambda g: (len(held[g]) - target[g], g))
+            held[g][s] = n
         return pd.DataFrame([(it, g, s, n) for g in names for s, n in sorted(held[g].items())], columns=["iter", "grp", "label", "n"])
 
     return _per_iteration(occ, count, model)
@@ -161,6 +166,37 @@ def significance(tails: int = 1) -> Column:
     return out
 
 
+def rank_threshold() -> Column:
+    """The outermost of 0.995, 0.99, 0.975 and 0.95 that P lies above, or of 0.005, 0.01, 0.025 and 0.05 that the share of values not below lies under; else null."""
+    low = (F.col("C") + F.col("T")) / F.col("Q")
+    out = F.lit(None).cast("double")
+    for level in (0.05, 0.025, 0.01, 0.005):
+        out = F.when(low < level, level).otherwise(out)
+    for level in (0.95, 0.975, 0.99, 0.995):
+        out = F.when(F.col("P") > level, level).otherwise(out)
+    return out
+
+
+def unchanged(occ: DataFrame, count: int, seed: int = 1) -> DataFrame:
+    """The cube itself in every iteration."""
+    return iterations(occ, count).select("iter", "grp", "label", "n")
+
+
+def shuffled_properties(props: DataFrame, groups: DataFrame, count: int, seed: int = 1, by_item: bool = False) -> DataFrame:
+    """(iter, grp, prop, value): groups swap their property sets, or, by_item, each property for itself among the groups that have it.
+
+    A window runs over the groups of an iteration, and of a property by_item.
+    """
+    keys = ["iter", "prop"] if by_item else ["iter"]
+    each = iterations(props.select("grp", "prop").distinct() if by_item else groups.select("grp").distinct(), count)
+    old = F.row_number().over(Window.partitionBy(*keys).orderBy("grp"))
+    new = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *keys, "grp"), "grp"))
+    ranked = each.select(*keys, "grp", old.alias("i"), new.alias("j"))
+    moves = ranked.select(*keys, F.col("grp").alias("from"), "i").join(ranked.select(*keys, F.col("grp").alias("to"), F.col("j").alias("i")), [*keys, "i"])
+    sets = props.select(F.col("grp").alias("from"), "prop", "value")
+    return moves.join(sets, ["from", "prop"] if by_item else ["from"]).select("iter", F.col("to").alias("grp"), "prop", "value")
+
+
 def canape(observed: Column, null: Column, ratio: Column) -> Column:
     """Codes from ranks: 0 none, 1 neo, 2 palaeo, 3 mixed, 4 super."""
     endemic = (observed > 0.95) | (null > 0.95)
