@@ -116,16 +116,6 @@ def calc_num_labels_gistar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return local.select("grp", F.round(stats.gistar(F.col("s"), F.col("k"), F.col("m"), F.col("sd"), F.col("n")), 6).alias("NUM_GISTAR"))
 
 
-@register("calc_iei_stats", "WITH e AS (SELECT user_id, floor(value) AS v FROM events WHERE value IS NOT NULL), d AS (SELECT user_id, v - lag(v) OVER (PARTITION BY user_id ORDER BY v) AS i FROM e) SELECT user_id, count(i) AS IEI_N, round(avg(i), 6) AS IEI_MEAN, round(coalesce(stddev_samp(i), 0), 6) AS IEI_SD, min(i) AS IEI_MIN, max(i) AS IEI_MAX FROM d WHERE i IS NOT NULL GROUP BY 1")
-def calc_iei_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals between the sorted numeric labels of a group; repeated labels add intervals of 0."""
-    from pyspark.sql import Window
-
-    e = cube.table(spark, sf_dir, "events").where("value is not null").select("user_id", F.floor("value").cast("double").alias("v"))
-    d = e.select("user_id", (F.col("v") - F.lag("v").over(Window.partitionBy("user_id").orderBy("v"))).alias("i")).where("i is not null")
-    return d.groupBy("user_id").agg(F.count("i").alias("IEI_N"), F.round(F.avg("i"), 6).alias("IEI_MEAN"), F.round(stats.sd(F.col("i")), 6).alias("IEI_SD"), F.min("i").alias("IEI_MIN"), F.max("i").alias("IEI_MAX"))
-
-
 # ---- matrices, trees, clusters
 
 for _index, _sql in (("SORENSON", "1 - 2e0 * a / (v1 + v2)"), ("JACCARD", "1 - 1e0 * a / (v1 + v2 - a)"), ("S2", "1 - 1e0 * a / least(v1, v2)")):
@@ -175,5 +165,5 @@ def _random(model: Callable[..., DataFrame]) -> Callable[[SparkSession, str], Da
 for _name, _model in (("rand_csr_by_group", randomise.csr_by_group), ("rand_curveball", randomise.curveball), ("rand_independent_swaps", randomise.independent_swaps), ("rand_structured", randomise.structured)):
     register(_name)(_random(_model))
 
-for _module in ("lists", "estimators", "properties", "clades", "ranges", "trees", "randomise"):
+for _module in ("lists", "estimators", "properties", "clades", "ranges", "trees", "randomise", "expressions"):
     importlib.import_module(f"quadrat.plans.{_module}")
