@@ -388,12 +388,63 @@ def test_splitting_tree_keeps_quotas():
     assert max(map(sum, quotas)) - min(map(sum, quotas)) <= 3
 
 
-def test_pipeline(spark, tmp_path, docs):
+def _brute_lines(texts):
+    """Texts by id without later repeated runs of lines."""
+    strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
+    first, kept = {}, {}
+    seqs = {d: [(k, strip(x)) for k, x in enumerate(t.split("\n")) if strip(x)] for d, t in sorted(texts.items())}
+    keys = lambda s, k: ([(s[k][1], s[k + 1][1])] if k + 1 < len(s) else []) + ([s[k][1]] if len(s[k][1].split()) >= 30 else [])
+    for d, s in seqs.items():
+        for k in range(len(s)):
+            for key in keys(s, k):
+                first.setdefault(key, (d, k))
+    for d, s in seqs.items():
+        gone = set()
+        for k in range(len(s)):
+            for key in keys(s, k):
+                if first[key] != (d, k):
+                    gone |= {s[k][0], s[k + 1][0]} if isinstance(key, tuple) else {s[k][0]}
+        kept[d] = "\n".join(x for k, x in enumerate(texts[d].split("\n")) if k not in gone)
+    return kept
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path, docs):
+    """Each stage's decisions on what the stage before has kept, and the digests at the end."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     rows = corpus_pipeline.run(spark, str(tmp_path))
-    assert rows.count() and rows.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert rows.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    # Quality rules: base rules hold and the posterior of the votes' pattern is one half or more.
+    judged = {i: quality.measures((t or "").encode()) for i, t in enumerate(TEXTS)}
+    votes = {i: quality.vote(m) for i, (_, m) in judged.items()}
+    posterior = quality.fit(dict(Counter(votes.values())))
+    good = {i: TEXTS[i] for i, (c, _) in judged.items() if c["n_words"] >= 50 and 100 * c["n_repeat_words"] <= 50 * c["n_words"] and posterior[votes[i]] >= 0.5}
+    # Lines, then the least document of each component of 5-word sets at 80 per cent.
+    left = {d: t for d, t in _brute_lines(good).items() if t.split()}
+    sets = {}
+    for d, t in left.items():
+        w = t.encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    up = {d: d for d in sets}
+    root = lambda d: d if up[d] == d else root(up[d])
+    for d in sets:
+        for e in sets:
+            if e < d and 100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e]):
+                x, y = sorted((root(d), root(e)))
+                up[y] = x
+    single = [d for d in sorted(sets) if root(d) == d]
+    # Mixing: as often as the operator's own digest says, whose targets a test of its own checks.
+    source = {i: None if i % 9 == 0 else f"s{i % 4}" for i in range(len(TEXTS))}
+    table = spark.createDataFrame([(d, left[d], "en", source[d], len(left[d])) for d in single], "doc_id long, text string, lang string, source string, n_chars long")
+    taken = {r["doc_id"]: r["taken"] // max(r["size"], 1) for r in mixing.mix_digest(table).collect()}
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    want = Counter()
+    for d in single:
+        ids = t.encode(left[d], add_special_tokens=False).ids
+        want[d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += taken[d]
+    assert Counter(tuple(r)[:4] for r in rows.collect()) == +want and 0 < len(single) < len(good)
 
 
 def test_long_texts_take_time_in_proportion():
