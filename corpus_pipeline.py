@@ -2,7 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 each stage's result as Parquet in the shared folder and reads it again as the
-next one's docs.  All but the last return the columns of documents.
+next one's docs.  All but the last return the columns of documents, under their
+names, also where those are the ones that operators use inside.
+
+A null or empty text has no words, so the quality rules reject it; a null
+doc_id is a value like another, except that the near-duplicate stage keeps all
+rows without one; rows that repeat doc_id and text are judged alike, count as
+one document for line dedup, and one of them stays in the near-duplicate stage,
+while different texts under one doc_id are documents of their own; of ties (the
+same line run, the same set) the row with the least doc_id, then with the least
+hash, stays.  Texts of any length are handled whole.  Empty tables pass through
+every stage.
 """
 
 from __future__ import annotations
