@@ -87,3 +87,33 @@ def cut(tree: DataFrame, clusters: int) -> DataFrame:
             node = up[node]
         out.append((tip, node))
     return spark.createDataFrame(out, "element string, cluster string")
+
+
+def linked(matrix: DataFrame, one: str, two: str, name: str, linkage: str, sizes: DataFrame | None = None) -> DataFrame:
+    """The matrix after `one` and `two` have merged into `name`: a step of clustering as a join, for matrices of any size.
+
+    sizes(element, tips) weighs link_average; both elements' values to every
+    other one are combined, and their own rows go.
+    """
+    both = matrix.select(F.col("e1").alias("e"), F.col("e2").alias("o"), "value").union(matrix.select("e2", "e1", "value"))
+    mine = both.where(F.col("e").isin(one, two) & ~F.col("o").isin(one, two))
+    if linkage == "link_average":
+        mine = mine.join(sizes.select(F.col("element").alias("e"), "tips"), "e")
+        value = F.sum(F.col("value") * F.col("tips")) / F.sum("tips")
+    else:
+        value = {"link_average_unweighted": F.avg, "link_minimum": F.min, "link_maximum": F.max}[linkage]("value")
+    new = mine.groupBy("o").agg(value.alias("value")).select(F.least("o", F.lit(name)).alias("e1"), F.greatest("o", F.lit(name)).alias("e2"), "value")
+    return matrix.where(~F.col("e1").isin(one, two) & ~F.col("e2").isin(one, two)).unionByName(new)
+
+
+def recalculated(occ: DataFrame, one: str, two: str, name: str, index: str = "SORENSON") -> DataFrame:
+    """The matrix after the merge, with the index of the merged assemblage made anew."""
+    merged = occ.withColumn("grp", F.when(F.col("grp").isin(one, two), name).otherwise(F.col("grp"))).groupBy("grp", "label").agg(F.sum("n").alias("n"))
+    return pair_matrix(merged, index)
+
+
+def most_similar(matrix: DataFrame, ties: DataFrame | None = None) -> DataFrame:
+    """(e1, e2, value) of the least value; of ties the pair with the largest tie(e1, e2, tie), then the first names."""
+    rows = matrix if ties is None else matrix.join(ties, ["e1", "e2"])
+    order = F.struct("value", *([] if ties is None else [-F.col("tie")]), "e1", "e2")
+    return rows.agg(F.min(order).alias("m")).select("m.e1", "m.e2", "m.value")

@@ -165,5 +165,5 @@ def _random(model: Callable[..., DataFrame]) -> Callable[[SparkSession, str], Da
 for _name, _model in (("rand_csr_by_group", randomise.csr_by_group), ("rand_curveball", randomise.curveball), ("rand_independent_swaps", randomise.independent_swaps), ("rand_structured", randomise.structured)):
     register(_name)(_random(_model))
 
-for _module in ("lists", "estimators", "properties", "clades", "ranges", "trees", "randomise", "expressions"):
+for _module in ("lists", "estimators", "properties", "clades", "ranges", "trees", "randomise", "expressions", "clusters"):
     importlib.import_module(f"quadrat.plans.{_module}")
