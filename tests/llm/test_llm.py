@@ -218,7 +218,7 @@ def test_attention_gradients():
         assert g[k][at] == pytest.approx((a - b) / 2 / e, rel=1e-4, abs=1e-9)
 
 
-@pytest.mark.parametrize(("k", "num", "limits"), [(3, 90, (1500, 4)), (5, 80, (1500, 4)), (1, 60, (1500, 4)), (1, 60, (2, -1)), (1, 60, (2, 0.5))])
+@pytest.mark.parametrize(("k", "num", "limits"), [(3, 90, (1500, 4)), (5, 80, (1500, 4)), (1, 60, (2, -1)), (1, 60, (2, 0.5))])
 def test_jaccard_components(docs, k, num, limits):
     sets = []
     for t in TEXTS:
