@@ -13,11 +13,9 @@ Word counts are gathered from all training documents by a shuffle and stored.
 The attention weights are fitted by Adam in ROUNDS rounds over a share of the
 training documents each: every task goes on from the common weights with its
 own texts, and the tasks' weights are averaged by the tokens they read, an
-embedding by how often its token was read.  One training text in EVERY is
-learned from, by a hash, and of it one stretch of STRETCH blocks in EVERY, the
-first one by a hash, too; small corpora are learned from whole.  So what is
-learned from grows in proportion to the input.  Averaging needs a
-common start, which is fitted before on about SAMPLE_WINDOWS windows of
+embedding by how often its token was read.  All training texts are learned from
+whole, in PASSES passes, and token clusters come from all of them, at any size
+of the input.  Averaging needs a common start, which is fitted before on about SAMPLE_WINDOWS windows of
 SAMPLE_WORDS words.  Counts, scoring and base scores cover whole texts.
 """
 
@@ -45,10 +43,8 @@ SAMPLE_WINDOWS, SAMPLE_WORDS = 4000, 64
 SAMPLE_BYTES = 4096
 #: Rounds over shares of the training documents, and the rate that they begin and end with.
 ROUNDS, RATES = 4, (0.005, 0.001)
-#: One training text in EVERY is learned from, and of its blocks one stretch in EVERY; token clusters come from one text in EVERY * EVERY.
-STRETCH, EVERY = 8, 4
-#: Subwords that a task learns from together; those that are read in all at least, as far as PASSES passes over few texts do.
-TOGETHER, ENOUGH, PASSES = 200_000, 4_000_000, 6
+#: Subwords that a task learns from together, how often, and blocks of a step.
+TOGETHER, PASSES, STEP = 200_000, 1, 32
 #: Weights of words' own frequencies to choose from.
 PARTS = np.array([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.7])
 #: Frequent words whose counts every worker holds, with the most bytes such a word may have; the others' counts are joined, with the same results.
@@ -129,11 +125,13 @@ class Attention:
         a = q @ k2.transpose(0, 2, 1)
         a += p["near"] + self.mask
         a[first, :, :s] = -1e9
+        # Texts that repeat without end drive these far beyond what exp holds.
+        a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
         total = a.sum(2, keepdims=True)
         if not np.isfinite(total).all():
             raise FloatingPointError("attention overflows")
-        a /= np.maximum(total, 1e-30)
+        a /= total
         m = (a @ v2).reshape(-1, WIDTH)
         h = flat + m @ p["o"]
         pre = h @ p["w1"] + p["b1"]
@@ -215,22 +213,9 @@ class Attention:
             losses.append(total)
         return losses
 
-    @staticmethod
-    def stretches(docs: list[np.ndarray], x: np.ndarray, y: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One stretch of STRETCH blocks in EVERY of each document, the first one by a hash of the document; a stretch begins without a block before."""
-        count = np.array([-(-len(d) // STRIDE) for d in docs])
-        begin = np.array([zlib.crc32(d[:256].tobytes()) % EVERY for d in docs])
-        nth = np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
-        yes = (nth // STRETCH) % EVERY == np.repeat(begin, count)
-        return x[yes], y[yes], (first | (nth % STRETCH == 0))[yes]
-
-    def learn(self, docs: list[np.ndarray], bos: int, rate: float, passes: int, state: dict, size: int = 96, whole: bool = False) -> np.ndarray:
-        """Adam over the documents' stretches at one rate; the ids that were read.  state carries the moments on, and only embeddings that a step reads move."""
+    def learn(self, docs: list[np.ndarray], bos: int, rate: float, passes: int, state: dict, size: int = STEP) -> np.ndarray:
+        """Adam over the documents at one rate; the ids that were read.  state carries the moments on, and only embeddings that a step reads move."""
         x, y, first, _ = self.blocks(docs, bos)
-        if not whole:
-            x, y, first = self.stretches(docs, x, y, first)
-        if not len(x):
-            return x.ravel()
         if not state:
             state |= {"t": 0, "first": {k: np.zeros_like(v) for k, v in self.p.items()}, "second": {k: np.zeros_like(v) for k, v in self.p.items()}}
         for _ in range(passes):
@@ -464,7 +449,7 @@ def spell(texts: Iterator[bytes], path: str) -> Iterator[list[np.ndarray]]:
 
 
 def followers(train: DataFrame, path: str, tokens: np.ndarray) -> np.ndarray:
-    """How often each token follows each of single_classes, over one training text in EVERY * EVERY, or over all of a small corpus."""
+    """How often each token follows each of single_classes, over all training texts."""
     single, bos, width = single_classes(tokens), len(tokens) - 2, SINGLES + 1
 
     def task(texts: Iterator[bytes]) -> dict[str, np.ndarray]:
@@ -478,19 +463,17 @@ def followers(train: DataFrame, path: str, tokens: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(count.any(1))
         return {"i": some, "i_n": count[some]} if len(some) else {}
 
-    every = 1 if tokens.sum() < ENOUGH else EVERY * EVERY
-    found = summed(train.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0), task, len(single))
+    found = summed(train, task, len(single))
     before = np.zeros((len(single), width), np.float32)
     if found:
         before[found["i"]] = found["i_n"]
     return before
 
 
-def learn_all(train: DataFrame, path: str, model: Attention, n_tokens: int) -> int:
+def learn_all(train: DataFrame, path: str, model: Attention) -> int:
     """Fits model on all training texts, in rounds; how many subwords it was shown."""
     bos = len(model.classes) - 2
-    passes = int(min(PASSES, max(1, ENOUGH // max(n_tokens, 1))))
-    shown = 0
+    shown, passes = 0, PASSES
     for n in range(ROUNDS):
         rate = RATES[0] + (RATES[1] - RATES[0]) * n / (ROUNDS - 1)
         given = train.sparkSession.sparkContext.broadcast(model)
@@ -502,7 +485,7 @@ def learn_all(train: DataFrame, path: str, model: Attention, n_tokens: int) -> i
                     mine = Attention.__new__(Attention)
                     mine.classes, mine.mask, mine.p = given.value.classes, given.value.mask, {k: v.copy() for k, v in given.value.p.items()}
                     read = np.zeros(len(mine.classes), np.int64)
-                read += np.bincount(mine.learn(docs, bos, rate, passes, state, whole=n_tokens < ENOUGH), minlength=len(read))
+                read += np.bincount(mine.learn(docs, bos, rate, passes, state), minlength=len(read))
             if mine is None or not read.any():
                 return {}
             some = np.flatnonzero(read)
@@ -510,9 +493,7 @@ def learn_all(train: DataFrame, path: str, model: Attention, n_tokens: int) -> i
             whole = {k: v * np.float64(total) for k, v in mine.p.items() if k != "e"}
             return {"i": some, "i_n": read[some], "i_e": mine.p["e"][some] * read[some, None].astype(np.float32), "n": total} | whole
 
-        # Of a small corpus all is read.
-        every = 1 if n_tokens < ENOUGH else EVERY
-        share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS * every)) == n
+        share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == n
         found = summed(train.where(share), task, len(model.classes))
         if found:
             shown += int(found["n"])
@@ -577,7 +558,7 @@ def score_documents(docs: DataFrame, path: str, frequent: int = FREQUENT) -> Dat
     classes = token_classes(tokens, followers(train, path, tokens))
     model = Attention(size + 2, classes)
     losses = model.fit(sample, bos)
-    shown = learn_all(train, path, model, int(tokens.sum()))
+    shown = learn_all(train, path, model)
     in_class = np.bincount(classes, tokens + 0.1)
     share = (np.log(tokens + 0.1) - np.log(in_class[classes])).astype(np.float32)
     # Of each frequent word, and of the end after them: subwords, log count, count.

@@ -202,6 +202,14 @@ def test_lm_learns_from_texts_beyond_the_start(spark, monkeypatch):
     assert len(held) > 5 and sum(r["score"] for r in held) > 0.8 * sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("n", [300, 50_000])
+def test_lm_learns_from_all_training_texts(spark, n):
+    """Of few texts and of many (over four million subwords) every one is learned from whole; each has six blocks."""
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("the of and to in is for on " * 11 + "the of and to in is for").alias("text"))
+    lm_score.score_documents(rows, tokenizer_path("byte_bpe_50k.tiktoken"))
+    assert lm_score.score_documents.shown == 96 * sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(n))
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     m = lm_score.Attention(12, np.arange(12) % 5)
