@@ -15,14 +15,13 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quadrat.llm.common import release_memory, texts
+from quadrat.llm.common import kept, release_memory, texts
 
 #: Entries of a worker's table of strings that are encoded already.  When it is full the older half, which holds the frequent ones, stays.
 CACHE = 200_000
@@ -296,7 +295,7 @@ def _encoded(enc: Encoder, batch: pd.DataFrame, size: int = 1_000_000) -> Iterat
         yield list(zip([x[0] for x in group], enc.encode_batch([x[1] for x in group]), strict=True))
 
 
-@lru_cache(maxsize=2)
+@kept
 def encoder(path: str) -> Encoder:
     """One encoder for each worker and file."""
     return Encoder(path)

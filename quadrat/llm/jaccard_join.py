@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import release_memory, table, texts
+from quadrat.llm.common import forget, release_memory, table, texts
 from quadrat.llm.components import connected_components
 
 #: Sets, and shingles of sets, in a block of a kernel.
@@ -289,6 +289,7 @@ def _pass(docs: DataFrame, k: int, num: int) -> DataFrame:
     """_FOUND: documents with their set, its size and histogram; signatures as key; links to other; what is no signature has a key of its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         made, seen, sender = PartEnum(num), set(), Sender(num)
         part, rows = TaskContext.get().partitionId(), 0
 
@@ -459,14 +460,17 @@ def _dense_links(members: DataFrame, sets: DataFrame, num: int, block_rows: int)
 
 
 def _open_groups(sent: DataFrame, held: DataFrame, comps: DataFrame, sketch: DataFrame) -> DataFrame:
-    """(key, sid, comp, n, bins, c): the sets of groups of three or more that have several components; the pair of smaller ones is known."""
+    """(key, sid, comp, n, bins, c): the sets of groups of three or more that have several components; the pair of smaller ones is known.  Of groups of the same sets one is here."""
     of = lambda rows: rows.join(comps, "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
-    still = of(sent.select("key", "sid", "c")).groupBy("key").agg(F.max("c").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "c")
+    # A set that several tasks have sent counts once.
+    ends = [F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("sets")]
+    still = of(sent.select("key", "sid").distinct()).groupBy("key").agg(*ends).where("x <> y").drop("x", "y")
     # Signatures held back lie in their first holder's component.
-    back = held.select(F.col("other").alias("key"), "sid").join(still.drop("c"), "key")
+    back = held.select(F.col("other").alias("key"), "sid").join(still.select("key"), "key").distinct()
     more = back.groupBy("key").agg(F.count("*").alias("more"))
-    still = still.join(more, "key", "left").select("key", (F.col("c") + F.coalesce("more", F.lit(0))).alias("c")).where("c > 2")
-    members = of(sent.select("key", "sid").union(back.select("key", "sid"))).join(still, "key").join(sketch.select("sid", "n", "bins"), "sid")
+    still = still.join(more, "key", "left").select("key", "sets", F.when(F.col("more").isNotNull(), F.col("key")).alias("own"), (F.col("c") + F.coalesce("more", F.lit(0))).alias("c")).where("c > 2")
+    still = still.groupBy("sets", "own", "c").agg(F.min("key").alias("key")).select("key", "c")
+    members = of(sent.select("key", "sid").union(back).join(still, "key").distinct()).join(sketch.select("sid", "n", "bins"), "sid")
     return members.select("key", "sid", "comp", "n", "bins", "c")
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrat.llm import bpe, jaccard_join, license_scan, line_dedup, lm_score, mixing, order_minhash, quality, suffix_dedup, token_counts
+from quadrat.llm import bpe, common, jaccard_join, license_scan, line_dedup, lm_score, mixing, order_minhash, quality, suffix_dedup, token_counts
 from quadrat.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality string, row string, h long"
@@ -258,6 +258,24 @@ def test_keep_one_keeps_different_texts_under_one_id(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, long + " more"), (2, other), (None, long), (None, None), (4, None), (5, ""), (6, TEXTS[2])], key=str)
 
 
+def test_open_groups_hold_a_set_once_and_groups_of_the_same_sets_once(spark):
+    """Groups 1 and 2 hold the same sets, 3 has two that many tasks sent, 4 is closed, 5 has one more that was held back."""
+    groups = {1: [1, 2, 3, 3], 2: [3, 2, 1], 3: [1, 1, 3], 4: [1, 2, 2], 5: [1, 2, 3]}
+    sent = spark.createDataFrame([(k, s, len(g)) for k, g in groups.items() for s in g], "key long, sid long, c long")
+    held = spark.createDataFrame([(9, 5, 4), (9, 5, 4), (9, 4, 4)], "key long, other long, sid long")
+    comps = spark.createDataFrame([(1, 1), (2, 1), (4, 1)], "sid long, component long")
+    sketch = spark.createDataFrame([(s, 9, bytearray(4)) for s in range(1, 5)], "sid long, n long, bins binary")
+    got = sorted((r["key"], r["sid"], r["comp"], r["c"]) for r in jaccard_join._open_groups(sent, held, comps, sketch).collect())
+    assert got == [(1, 1, 1, 3), (1, 2, 1, 3), (1, 3, 3, 3), (5, 1, 1, 4), (5, 2, 1, 4), (5, 3, 3, 4), (5, 4, 1, 4)]
+
+
+def test_jaccard_tasks_forget_encoders():
+    bpe.encoder(tokenizer_path("byte_bpe_50k.json"))
+    assert bpe.encoder.cache_info().currsize
+    common.forget()
+    assert not bpe.encoder.cache_info().currsize
+
+
 def test_partenum_loses_no_similar_pair():
     rng = np.random.default_rng(1)
     for num in (80, 90):
