@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from quadrat.llm.common import kept, release_memory, texts
 
 #: Entries of a worker's table of strings that are encoded already.  When it is full the older half, which holds the frequent ones, stays.
-CACHE = 200_000
+CACHE = 400_000
 #: Characters of a string that is kept there; longer ones are encoded anew.
 LONGEST = 256
 
@@ -226,9 +226,9 @@ class Encoder:
         return out
 
     def shrink(self) -> None:
-        """Keeps the eldest quarter of the caches, which has most of the common strings."""
-        self.cache = dict(islice(self.cache.items(), CACHE // 8))
-        self.runs = dict(islice(self.runs.items(), CACHE // 4))
+        """Keeps the eldest eighth of the caches, which has most of the common strings."""
+        self.cache = dict(islice(self.cache.items(), CACHE // 16))
+        self.runs = dict(islice(self.runs.items(), CACHE // 8))
 
     def encode_batch(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of texts; a special token's string in one becomes that token."""

@@ -81,6 +81,15 @@ def test_bpe_equals_the_tokenizers_library(docs):
         assert r["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_keeps_many_strings():
+    """Strings that come again aren't encoded again, though there are more of them than a worker once kept."""
+    enc = bpe.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    text = " ".join(f"w{i}" for i in range(220_000))
+    first = enc.encode(text)
+    enc.encode("another")
+    assert len(enc.runs) >= 219_999 and (enc.encode(text) == first).all()
+
+
 def test_order_minhash(docs):
     rows = {r["doc_id"]: r for r in order_minhash.fingerprint_documents(docs).collect()}
     for i, t in enumerate(TEXTS):
