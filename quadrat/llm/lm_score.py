@@ -3,13 +3,16 @@
 The model reads subword ids.  A token attends to the tokens of its own block of
 STRIDE and of the block before, so context windows of 2 * STRIDE overlap by
 half and every token is scored once, in batched masked attention.  The next
-token's probability is that of its class, from the attention layer, times its
-share in the class, from counts over all training documents.  A word's
+token's probability is that of its class's group and of its class in the group,
+from the attention layer, times its share in the class, from counts over all
+training documents.  A word's
 probability is the product over its subwords, mixed with the word's own
 frequency in all training texts; the weight is the one of PARTS under which
 all training words are likeliest, each with a frequency that leaves itself out.
 
 Word counts are gathered from all training documents by a shuffle and stored.
+Then texts are split and spelt once and stored as numbers (NUMBERED), which
+clusters, rounds and scores read.
 The attention weights are fitted by Adam in ROUNDS rounds over a share of the
 training documents each: every task goes on from the common weights with its
 own texts, and the tasks' weights are averaged by the tokens they read, an
@@ -23,20 +26,18 @@ from __future__ import annotations
 
 import hashlib
 import io
-import uuid
-import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import table
+from quadrat.llm.common import release_memory, table
 
 SAMPLE_WINDOWS, SAMPLE_WORDS = 4000, 64
 #: A window of more bytes (it holds a word of that kind) is not drawn for the start; the rounds read it.
@@ -45,15 +46,22 @@ SAMPLE_BYTES = 4096
 ROUNDS, RATES = 4, (0.005, 0.001)
 #: Subwords that a task learns from together, how often, and blocks of a step.
 TOGETHER, PASSES, STEP = 200_000, 1, 32
+#: A step has as many more blocks after each WIDEN steps of a task, up to WIDER times as many.
+WIDEN, WIDER = 50, 8
 #: Weights of words' own frequencies to choose from.
 PARTS = np.array([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.7])
+RUN = 64
 #: Frequent words whose counts every worker holds, with the most bytes such a word may have; the others' counts are joined, with the same results.
 FREQUENT = 300_000
 FREQUENT_BYTES = 64
-#: Encoded words that a worker keeps, of WORD_BYTES at most; longer ones are encoded in parts of so many bytes.
-CACHE, WORD_BYTES = 200_000, 256
+#: Words of more bytes are encoded in parts of so many.
+WORD_BYTES = 256
+#: Bytes of text that a task splits into words at a time.
+PIECE = 8 << 20
 STRIDE, WIDTH, HIDDEN = 16, 16, 16
-SINGLES, CLUSTERS = 64, 128
+SINGLES, CLUSTERS = 64, 320
+#: Classes of a group; a class has the probability of its group times its own in the group.
+GROUP = 32
 
 
 @lru_cache(maxsize=2)
@@ -78,7 +86,12 @@ def subwords(path: str):
 
 
 class Attention:
-    """One layer of causal self-attention over token ids, with class outputs."""
+    """One layer of causal self-attention over token ids, with class outputs.
+
+    With one head, queries and keys meet in the product of their matrices only,
+    and so do values and what they add to; each product is one matrix here, q
+    and v, and embeddings stand for keys and values.
+    """
 
     def __init__(self, tokens: int, classes: np.ndarray, seed: int = 1):
         rng = np.random.default_rng(seed)
@@ -86,9 +99,9 @@ class Attention:
         w = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape).astype(np.float32)
         self.classes = classes
         self.p = {
-            "e": rng.normal(0, 0.3, (tokens, d)).astype(np.float32), "q": w(d, d), "k": w(d, d), "v": w(d, d), "o": w(d, d),
+            "e": rng.normal(0, 0.3, (tokens, d)).astype(np.float32), "q": w(d, d), "v": w(d, d),
             "near": np.zeros((s, 2 * s), np.float32), "w1": w(d, h), "b1": np.zeros(h, np.float32), "w2": w(h, d) * 0.5,
-            "u": w(d, c) * 0.5, "b": np.zeros(c, np.float32),
+            "u": w(d, c) * 0.5, "b": np.zeros(c, np.float32), "ug": w(d, -(-c // GROUP)) * 0.5, "bg": np.zeros(-(-c // GROUP), np.float32),
         }
         i, j = np.arange(s)[:, None], np.arange(2 * s)[None, :]
         self.mask = np.where(j <= i + s, 0, -1e9).astype(np.float32)
@@ -111,77 +124,148 @@ class Attention:
         return x.reshape(-1, s), y.reshape(-1, s), first, np.repeat(np.arange(len(docs)), count)
 
     @staticmethod
-    def _windows(t: np.ndarray) -> np.ndarray:
-        """Each block with the one before it, as a view; nothing stands before the first."""
-        wide = np.concatenate([np.zeros((STRIDE, WIDTH), t.dtype), t])
-        return np.lib.stride_tricks.as_strided(wide, (len(t) // STRIDE, 2 * STRIDE, WIDTH), (STRIDE * wide.strides[0], *wide.strides))
-
-    def forward(self, x: np.ndarray, first: np.ndarray, of: np.ndarray | None = None):
-        """What the classes' logits are made of; with each token's class: the classes' shares, the token's loss, and all on the way."""
-        p, s = self.p, STRIDE
-        flat = p["e"][x.ravel()]
-        q = (flat @ (p["q"] * WIDTH**-0.5)).reshape(-1, s, WIDTH)
-        k2, v2 = (self._windows(flat @ p[t]) for t in "kv")
-        a = q @ k2.transpose(0, 2, 1)
-        a += p["near"] + self.mask
-        a[first, :, :s] = -1e9
-        # Texts that repeat without end drive these far beyond what exp holds.
-        a -= a.max(2, keepdims=True)
-        np.exp(a, out=a)
-        total = a.sum(2, keepdims=True)
-        if not np.isfinite(total).all():
-            raise FloatingPointError("attention overflows")
-        a /= total
-        m = (a @ v2).reshape(-1, WIDTH)
-        h = flat + m @ p["o"]
-        pre = h @ p["w1"] + p["b1"]
+    def _windows(wide: np.ndarray) -> np.ndarray:
+        """Each block of rows with the one before it, as a view; the first STRIDE rows stand before the first."""
+        return np.lib.stride_tricks.as_strided(wide, (len(wide) // STRIDE - 1, 2 * STRIDE, wide.shape[1]), (STRIDE * wide.strides[0], *wide.strides))
+
+    def forward(self, x: np.ndarray, first: np.ndarray):
+        """What the logits are made of, and all on the way."""
+        p, s, d = self.p, STRIDE, WIDTH
+        # Embeddings, and ones that sum the attention.
+        wide = np.empty((x.size + s, d + 1), p["e"].dtype)
+        wide[:s], wide[:, d] = 0, 1
+        flat = p["e"].take(x.ravel(), 0)
+        wide[s:, :d] = flat
+        q, of = (flat @ (p["q"] * d**-0.5)).reshape(-1, s, d), self._windows(wide)
+        keys, add, first = of[:, :, :d].transpose(0, 2, 1), p["near"] + self.mask, np.flatnonzero(first)
+
+        def weights() -> np.ndarray:
+            a = q @ keys
+            a += add
+            a[first, :, :s] = -1e9
+            return a
+
+        with np.errstate(over="ignore", invalid="ignore"):
+            a = weights()
+            np.exp(a, out=a)
+            m = a @ of
+            total = m[:, :, d:]
+            fine = total.min(initial=1) > 1e-20 and total.max(initial=1) < 1e30
+        if not fine:
+            # Texts that repeat without end drive these beyond what exp holds.
+            a = weights()
+            a -= a.max(2, keepdims=True)
+            np.exp(a, out=a)
+            m = a @ of
+            total = m[:, :, d:]
+            if not np.isfinite(total).all():
+                raise FloatingPointError("attention overflows")
+        # The last column is one.
+        total = total.copy()
+        m /= total
+        m = m.reshape(-1, d + 1)[:, :d]
+        h = m @ p["v"]
+        h += flat
+        pre = h @ p["w1"]
+        pre += p["b1"]
         np.maximum(pre, 0, out=pre)
-        z = h + pre @ p["w2"]
-        if of is None:
-            return z
-        logits = z @ p["u"] + p["b"]
-        np.minimum(logits, 80, out=logits)
-        chosen = logits[np.arange(len(logits)), of]
-        np.exp(logits, out=logits)
-        norm = logits @ np.ones(logits.shape[1], logits.dtype)
-        logits /= np.maximum(norm, 1e-30)[:, None]
-        return logits, np.log(np.maximum(norm, 1e-30)) - chosen, (flat, q, k2, v2, a, m, h, pre, z)
+        z = pre @ p["w2"]
+        z += h
+        return z, (flat, q, of, a, total, m, h, pre)
+
+    def _outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the groups' logits, and of the classes', each group with GROUP of them; the last row is the bias."""
+        p, pad = self.p, -self.p["u"].shape[1] % GROUP
+        own = np.concatenate([p["u"], p["b"][None]])
+        if pad:
+            none = np.zeros((len(own), pad), own.dtype)
+            none[-1] = -1e9
+            own = np.concatenate([own, none], 1)
+        return np.concatenate([p["ug"], p["bg"][None]]), own
+
+    @staticmethod
+    def _by_group(z: np.ndarray, c: np.ndarray, weights: tuple[np.ndarray, np.ndarray]):
+        """Tokens of classes c in the order of their groups: that order, spans (group, begin, end) and classes, z with ones, and exponents and chosen logit of the groups and of the classes in the token's group."""
+        order = np.argsort((c // GROUP).astype(np.uint16), kind="stable")
+        c = c.take(order)
+        group = c // GROUP
+        z1 = np.empty((len(z), WIDTH + 1), z.dtype)
+        z1[:, :WIDTH], z1[:, WIDTH] = z.take(order, 0), 1
+        ends = np.cumsum(np.bincount(group, minlength=weights[0].shape[1])).tolist()
+        spans = [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
+        at_groups, own = z1 @ weights[0], np.empty((len(c), GROUP), z.dtype)
+        for g, a, b in spans:
+            np.matmul(z1[a:b], weights[1][:, g * GROUP : (g + 1) * GROUP], out=own[a:b])
+        found = []
+        for logits, nth in ((at_groups, group), (own, c % GROUP)):
+            np.minimum(logits, 80, out=logits)
+            # Where each token's own is.
+            at = np.arange(0, logits.size, logits.shape[1]) + nth
+            chosen = logits.ravel().take(at)
+            np.exp(logits, out=logits)
+            found.append((logits, at, chosen, np.maximum(logits @ np.ones(logits.shape[1], z.dtype), 1e-30)))
+        return order, spans, z1, found
 
     def gradients(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, rows_only: bool = False) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss and gradients; with rows_only, that of the embeddings has a row for each of the distinct ids of x."""
-        p, s, g = self.p, STRIDE, {}
-        yes = y.ravel() >= 0
-        c = np.where(yes, self.classes[y.ravel()], 0)
-        n, rows = yes.sum(), np.arange(len(c))
-        d, losses, (flat, q, k2, v2, a, m, h, pre, z) = self.forward(x, first, c)
-        loss = float(losses[yes].sum() / n)
-        d[rows, c] -= 1
-        d *= yes[:, None] / np.float32(n)
-        g["u"], g["b"] = z.T @ d, d.sum(0)
-        dz = d @ p["u"].T
+        """Mean loss and gradients; with rows_only, that of the embeddings has a row for each of g["ids"], the distinct ids of x."""
+        p, s, d, g = self.p, STRIDE, WIDTH, {}
+        y = y.ravel()
+        c, n = self.classes.take(np.maximum(y, 0)), (y >= 0).sum()
+        z, (flat, q, of, a, total, m, h, pre) = self.forward(x, first)
+        weights = self._outputs()
+        order, spans, z1, found = self._by_group(z, c, weights)
+        share, loss = (y >= 0).take(order) / z.dtype.type(n), 0.0
+        for logits, at, chosen, norm in found:
+            loss += float(share @ (np.log(norm) - chosen))
+            logits.ravel()[at] -= norm
+            logits *= (share / norm)[:, None]
+        (at_groups, *_), (own, *_) = found
+        gg, gu, dzs = z1.T @ at_groups, np.zeros_like(weights[1]), np.empty((len(c), d), z.dtype)
+        for i, lo, hi in spans:
+            at = slice(i * GROUP, (i + 1) * GROUP)
+            np.matmul(z1[lo:hi].T, own[lo:hi], out=gu[:, at])
+            np.matmul(own[lo:hi], weights[1][:d, at].T, out=dzs[lo:hi])
+        dzs += at_groups @ weights[0][:d].T
+        dz = np.empty_like(dzs)
+        dz[order] = dzs
+        classes, ones = len(p["b"]), np.ones(len(c), z.dtype)
+        g["u"], g["b"], g["ug"], g["bg"] = gu[:d, :classes], gu[d, :classes], gg[:d], gg[d]
         g["w2"] = pre.T @ dz
-        dp = (dz @ p["w2"].T) * (pre > 0)
-        g["w1"], g["b1"] = h.T @ dp, dp.sum(0)
-        dh = dz + dp @ p["w1"].T
-        g["o"] = m.T @ dh
-        dm = (dh @ p["o"].T).reshape(q.shape)
-        da = dm @ v2.transpose(0, 2, 1)
-        dv2 = a.transpose(0, 2, 1) @ dm
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        g["near"] = ds.sum(0)
-        dq, dk2 = ds @ k2, ds.transpose(0, 2, 1) @ q
-
-        def own(t: np.ndarray) -> np.ndarray:
-            before = np.where(first[:, None, None], 0, t[:, :s])
-            return (t[:, s:] + np.roll(before, -1, 0)).reshape(-1, WIDTH)
-
-        dq, dk, dv = dq.reshape(-1, WIDTH) * np.float32(WIDTH**-0.5), own(dk2), own(dv2)
-        g["q"], g["k"], g["v"] = flat.T @ dq, flat.T @ dk, flat.T @ dv
-        de = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        order = np.argsort(x.ravel(), kind="stable")
-        ids, begin = np.unique(x.ravel()[order], return_index=True)
-        g["e"] = np.add.reduceat(de[order], begin)
-        if not rows_only:
+        dp = dz @ p["w2"].T
+        dp *= pre > 0
+        g["w1"], g["b1"] = h.T @ dp, ones @ dp
+        dh = dp @ p["w1"].T
+        dh += dz
+        g["v"] = m.T @ dh
+        # Of the weighted sums, and in the last column of the sums of weights.
+        dm = np.empty((len(flat), d + 1), z.dtype)
+        np.matmul(dh, p["v"].T, out=dm[:, :d])
+        np.einsum("ij,ij->i", dm[:, :d], m, out=dm[:, d])
+        np.negative(dm[:, d], out=dm[:, d])
+        dm = dm.reshape(-1, s, d + 1)
+        dm /= total
+        ds = dm @ of.transpose(0, 2, 1)
+        ds *= a
+        g["near"] = (ones[: len(ds)] @ ds.reshape(len(ds), -1)).reshape(s, 2 * s)
+        dq = (ds @ of[:, :, :d]).reshape(-1, d)
+        dq *= d**-0.5
+        g["q"] = flat.T @ dq
+        t = ds.transpose(0, 2, 1) @ q
+        t += a.transpose(0, 2, 1) @ dm[:, :, :d]
+        de = dq @ p["q"].T
+        de += dh
+        blocks = de.reshape(-1, s, d)
+        blocks += t[:, s:]
+        # Weights of what is before a first block are zero.
+        blocks[:-1] += t[1:, :s]
+        flat_ids = x.ravel().astype(np.uint16 if len(p["e"]) <= 1 << 16 else np.int64)
+        order = np.argsort(flat_ids, kind="stable")
+        ids = flat_ids[order]
+        begin = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        g["e"], ids = np.add.reduceat(de.take(order, 0), begin), ids[begin]
+        if rows_only:
+            g["ids"] = ids
+        else:
             whole = np.zeros_like(p["e"])
             whole[ids] = g["e"]
             g["e"] = whole
@@ -214,52 +298,52 @@ class Attention:
         return losses
 
     def learn(self, docs: list[np.ndarray], bos: int, rate: float, passes: int, state: dict, size: int = STEP) -> np.ndarray:
-        """Adam over the documents at one rate; the ids that were read.  state carries the moments on, and only embeddings that a step reads move."""
+        """Adam over the documents at one rate; the ids that were read.  state carries the moments on, and only embeddings that a step reads move.
+
+        Steps are of `size` blocks at first and of up to WIDER times as many once state has seen more of them.
+        """
         x, y, first, _ = self.blocks(docs, bos)
+        dense = [k for k in self.p if k != "e"]
         if not state:
-            state |= {"t": 0, "first": {k: np.zeros_like(v) for k, v in self.p.items()}, "second": {k: np.zeros_like(v) for k, v in self.p.items()}}
+            whole = np.concatenate([self.p[k].ravel() for k in dense])
+            cuts = np.cumsum([self.p[k].size for k in dense])[:-1]
+            self.p |= {k: v.reshape(self.p[k].shape) for k, v in zip(dense, np.split(whole, cuts), strict=True)}
+            moments = lambda v: (np.zeros_like(v), np.zeros_like(v))
+            state |= {"t": 0, "whole": whole, "dense": moments(whole), "e": moments(self.p["e"])}
         for _ in range(passes):
-            for a in np.random.default_rng(state["t"]).permutation(np.arange(0, len(x), size)):
-                f = first[a : a + size].copy()
+            size_now = size * min(WIDER, 1 + state["t"] // WIDEN)
+            for a in np.random.default_rng(state["t"]).permutation(np.arange(0, len(x), size_now)):
+                f = first[a : a + size_now].copy()
                 f[0] = True
-                _, g = self.gradients(x[a : a + size], y[a : a + size], f, True)
+                _, g = self.gradients(x[a : a + size_now], y[a : a + size_now], f, True)
                 state["t"] += 1
                 t = state["t"]
                 r = rate * (1 - 0.999**t) ** 0.5 / (1 - 0.9**t)
-                ids = np.unique(x[a : a + size])
-                for k, v in g.items():
-                    at = ids if k == "e" else slice(None)
-                    one, two = state["first"][k][at], state["second"][k][at]
-                    one = one + 0.1 * (v - one)
-                    two = two + 0.001 * (v * v - two)
-                    state["first"][k][at], state["second"][k][at] = one, two
-                    self.p[k][at] -= r * one / (np.sqrt(two) + 1e-8)
+                for value, v, one, two, at in ((state["whole"], np.concatenate([g[k].ravel() for k in dense]), *state["dense"], slice(None)), (self.p["e"], g["e"], *state["e"], g["ids"])):
+                    m1, m2 = one[at], two[at]
+                    m1 = m1 + 0.1 * (v - m1)
+                    m2 = m2 + 0.001 * (v * v - m2)
+                    one[at], two[at] = m1, m2
+                    value[at] -= r * m1 / (np.sqrt(m2) + 1e-8)
         return x.ravel()
 
     def score(self, docs: list[np.ndarray], bos: int, share: np.ndarray) -> np.ndarray:
         """Natural log probability of each id, over all sequences; share: log of each token's share in its class."""
         x, y, first, _ = self.blocks(docs, bos)
         tokens = y.ravel()
-        classes = self.classes[np.maximum(tokens, 0)]
-        own, norm = np.empty(len(tokens), np.float32), np.empty(len(tokens), np.float32)
+        classes = self.classes.take(np.maximum(tokens, 0))
+        out, weights = np.empty(len(tokens), np.float32), self._outputs()
         # So few blocks at a time that what is computed stays in the processor's cache.
-        step, ones = 48, np.ones(self.p["u"].shape[1], np.float32)
-        rows = np.arange(step * STRIDE)
-        with np.errstate(over="ignore"):
-            for a in range(0, len(x), step):
-                # A window begins with the block before it, which is read but not scored.
-                b = max(0, a - 1)
-                z = self.forward(x[b : a + step], np.r_[True, first[b + 1 : a + step]])[(a - b) * STRIDE :]
-                logits = z @ self.p["u"]
-                logits += self.p["b"]
-                here = slice(a * STRIDE, a * STRIDE + len(z))
-                own[here] = logits[rows[: len(z)], classes[here]]
-                np.exp(logits, out=logits)
-                np.matmul(logits, ones, out=norm[here])
+        step = 128
+        for a in range(0, len(x), step):
+            # A window begins with the block before it, which is read but not scored.
+            b = max(0, a - 1)
+            z = self.forward(x[b : a + step], np.r_[True, first[b + 1 : a + step]])[0][(a - b) * STRIDE :]
+            here = slice(a * STRIDE, a * STRIDE + len(z))
+            order, _, _, found = self._by_group(z, classes[here], weights)
+            out[here][order] = sum(chosen - np.log(norm) for _, _, chosen, norm in found)
         yes = tokens >= 0
-        # Beyond 80 logits are cut off; they hardly occur.
-        norm = np.clip(norm[yes], 1e-30, np.float32(5.5e34))
-        return (np.minimum(own[yes], 80) - np.log(norm) + share[tokens[yes]]).astype(np.float64)
+        return (out[yes] + share[tokens[yes]]).astype(np.float64)
 
 
 def mixed(spelt: np.ndarray, frequency: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -271,9 +355,13 @@ def mixed(spelt: np.ndarray, frequency: np.ndarray, words: np.ndarray) -> np.nda
     high = np.maximum(spelt, frequency)
     spelt, own = np.exp(spelt - high), np.exp(frequency - high)
     begin = np.cumsum(words) - words
-    out = np.empty((len(words), len(PARTS)))
+    # Each factor is PARTS' least at least, so RUN of them are multiplied before a logarithm is taken.
+    runs = -(-words // RUN)
+    first = np.cumsum(runs) - runs
+    cuts = np.repeat(begin, runs) + RUN * (np.arange(runs.sum()) - np.repeat(first, runs))
+    whole, out = np.add.reduceat(high, begin), np.empty((len(words), len(PARTS)))
     for i, p in enumerate(PARTS):
-        out[:, i] = np.add.reduceat(np.log((1 - p) * spelt + p * own) + high, begin)
+        out[:, i] = np.add.reduceat(np.log(np.multiply.reduceat((1 - p) * spelt + p * own, cuts)), first) + whole
     return out
 
 
@@ -312,7 +400,22 @@ def token_classes(counts: np.ndarray, before: np.ndarray) -> np.ndarray:
             if mine.any():
                 centres[k] = (x[mine] * weight[mine, None]).sum(0) / weight[mine].sum()
     classes[rest] = len(single) + near
-    return np.unique(classes, return_inverse=True)[1]
+    classes = np.unique(classes, return_inverse=True)[1]
+    # Classes are numbered so that those of a group are alike in what comes before them.
+    whole = np.zeros((classes.max() + 1, before.shape[1]))
+    np.add.at(whole, classes, before)
+    whole = np.sqrt(whole / np.maximum(whole.sum(1, keepdims=True), 1))
+
+    def alike(some: np.ndarray) -> list[int]:
+        """some in an order by halves, of whole groups each, along the direction in which they differ most."""
+        half = -(-len(some) // GROUP) // 2 * GROUP
+        if not half:
+            return some.tolist()
+        x = whole[some] - whole[some].mean(0)
+        some = some[np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")]
+        return alike(some[:half]) + alike(some[half:])
+
+    return np.argsort(alike(np.arange(len(whole))))[classes]
 
 
 def _held_out(docs: DataFrame) -> DataFrame:
@@ -321,24 +424,48 @@ def _held_out(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), out.alias("held_out"))
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches with a column text, in batches of about PIECE bytes of text, or of one row."""
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(upto // PIECE, prepend=0)), len(upto)]).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
+def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-case (A-Z) words of all texts, and how many each text has; the separators are those of bytes.split()."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text.view(pa.string())))
+    words, at = lists.flatten(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+    # Empty ones come before, after and instead of separators.
+    yes = pc.greater(pc.binary_length(words), 0)
+    upto = np.r_[0, np.cumsum(yes.to_numpy(zero_copy_only=False))]
+    return words.filter(yes).view(pa.binary()), np.diff(upto[at]).astype(np.int64)
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, c) over rows(text); tasks count before the shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                count.update(text.lower().split())
-                if len(count) > 400_000:
-                    # The frequent ones go on counting; the rest is sent.
-                    rare = [w for w, c in count.items() if c < 4]
-                    yield pd.DataFrame({"word": rare, "c": [count.pop(w) for w in rare]})
-                    if len(count) > 200_000:
-                        yield pd.DataFrame({"word": list(count), "c": list(count.values())})
-                        count.clear()
-        yield pd.DataFrame({"word": list(count), "c": list(count.values())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
-    return rows.select("text").mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        def merged() -> Iterator[pa.RecordBatch]:
+            counts = pa.concat_tables(held).group_by("word").aggregate([("c", "sum")])
+            held.clear()
+            yield from counts.select(["word", "c_sum"]).rename_columns(["word", "c"]).to_batches(10_000)
+
+        for batch in pieces(batches):
+            count = pc.value_counts(words_of(batch.column("text"))[0])
+            held.append(pa.Table.from_arrays([count.field("values"), count.field("counts")], ["word", "c"]))
+            n += len(count)
+            if n > 400_000:
+                yield from merged()
+                n = 0
+        if held:
+            yield from merged()
+        release_memory()
+
+    return rows.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def frequent_words(counts: DataFrame, most: int) -> DataFrame:
@@ -392,17 +519,19 @@ def packed(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def summed(rows: DataFrame, task: Callable[[Iterator[bytes]], dict[str, np.ndarray]], length: int) -> dict[str, np.ndarray]:
-    """The sum of what task makes of each partition's texts; one row reaches the driver.
+def summed(rows: DataFrame, task: Callable[[Iterator[pd.DataFrame]], dict[str, np.ndarray]], length: int) -> dict[str, np.ndarray]:
+    """The sum of what task makes of each partition's rows; one row reaches the driver.
 
     task returns arrays by name: "i" the rows that it has of a table of `length`
     rows, names beginning with "i_" those rows, others whole arrays.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = task(bytes(t) for batch in batches for t in batch["text"])
+        made = task(batches)
         if made:
             yield pd.DataFrame({"part": [packed(**made)]})
+        del made
+        release_memory()
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -420,41 +549,93 @@ def summed(rows: DataFrame, task: Callable[[Iterator[bytes]], dict[str, np.ndarr
             some = np.flatnonzero(total["i_n"].reshape(length, -1).any(1))
             yield pd.DataFrame({"part": [packed(i=some, **{k: v[some] if k.startswith("i_") else v for k, v in total.items()})]})
 
-    parts = rows.select("text").mapInPandas(run, "part binary").repartition(8).mapInPandas(add, "part binary")
+    parts = rows.mapInPandas(run, "part binary").repartition(8).mapInPandas(add, "part binary")
     found = parts.repartition(1).mapInPandas(add, "part binary").collect()
     return dict(np.load(io.BytesIO(found[0]["part"]))) if found else {}
 
 
-def spell(texts: Iterator[bytes], path: str) -> Iterator[list[np.ndarray]]:
-    """Subwords of whole texts with the end, some texts at a time."""
-    encode, size = subwords(path)
-    cache: dict[bytes, list[int]] = {}
-    some, n = [], 0
-    for text in texts:
-        words = text.lower().split()
-        long = {}
-        for w in words:
-            if w not in cache and w not in long:
-                (cache if len(w) <= WORD_BYTES else long)[w] = encode(b" " + w)
-        ids = [i for w in words for i in cache[w]] if not long else [i for w in words for i in (long[w] if w in long else cache[w])]
-        some.append(np.array([*ids, size + 1], np.int64))
-        n += len(some[-1])
-        if len(cache) > CACHE:
-            cache = dict(islice(cache.items(), CACHE // 2))
-        if n >= TOGETHER:
-            yield some
-            some, n = [], 0
-    if some:
-        yield some
-
-
-def followers(train: DataFrame, path: str, tokens: np.ndarray) -> np.ndarray:
+def gathered(values: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values holds `sizes` values of each of some things; those of the things `of`, and how many of each."""
+    own = sizes[of]
+    upto = np.cumsum(own)
+    return values[np.arange(upto[-1] if len(upto) else 0) + np.repeat((np.cumsum(sizes) - sizes)[of] - upto + own, own)], own
+
+
+def binaries(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary value of so many of the values for each length."""
+    ends = np.r_[0, np.cumsum(lengths)] * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+#: Of a text: numbers of its words and the end, of the frequent ones in the list given, then of its own others; these, with their subwords and how many each has.
+NUMBERED = "doc_id long, held_out boolean, round int, words binary, others binary, spelt binary, sizes binary"
+
+
+def numbered(rows: DataFrame, given, path: str) -> DataFrame:
+    """Each row of doc_id, text, held_out and round with its text as NUMBERED says; given: a broadcast of the frequent words and other things."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(given.value[0], pa.binary())
+        encode, _ = subwords(path)
+        end = len(known)
+        for batch in pieces(batches):
+            words, lengths = words_of(batch.column("text"))
+            of = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+            beyond = np.flatnonzero(of < 0)
+            found = words.take(pa.array(beyond)).dictionary_encode()
+            names, codes = found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(len(lengths)), lengths)[beyond]
+            own, nth = np.unique(owner * max(len(names), 1) + codes, return_inverse=True)
+            count = np.bincount(own // max(len(names), 1), minlength=len(lengths))
+            of[beyond] = end + 1 + nth - (np.cumsum(count) - count)[owner]
+            spelt = [encode(b" " + w) for w in names.to_pylist()]
+            sizes = np.array([len(x) for x in spelt], np.int32)
+            own = own % max(len(names), 1)
+            ids, own_sizes = gathered(np.fromiter((i for x in spelt for i in x), np.int32), sizes, own)
+            per_text = np.add.reduceat(np.r_[own_sizes, 0], np.cumsum(count) - count) * (count > 0) if len(count) else count
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), names.take(pa.array(own)))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("held_out"), batch.column("round"), binaries(np.insert(of, np.cumsum(lengths), end), lengths + 1),
+                pc.binary_join(lists, pa.scalar(b" ", pa.binary())), binaries(ids, per_text), binaries(own_sizes, count),
+            ], [c.split()[0] for c in NUMBERED.split(", ")])
+        release_memory()
+
+    return rows.mapInArrow(run, NUMBERED)
+
+
+def unpacked(some: pd.DataFrame, of_known: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of some rows as NUMBERED says: numbers of all words, with the others numbered through; each text's number of words; all subwords; how many each word has.
+
+    of_known, ids: how many subwords each frequent word has, and the end; these.
+    """
+    join = lambda c: np.frombuffer(b"".join(some[c]), np.int32)
+    of, lengths = join("words").astype(np.int64), some["words"].map(len).to_numpy(np.int64) // 4
+    others = some["sizes"].map(len).to_numpy(np.int64) // 4
+    beyond = of >= len(of_known)
+    of[beyond] += np.repeat(np.cumsum(others) - others, lengths)[beyond]
+    tokens, sizes = gathered(np.r_[ids, join("spelt")], np.r_[of_known, join("sizes")], of)
+    return of, lengths, tokens, sizes
+
+
+def spell(batches: Iterator[pd.DataFrame], of_known: np.ndarray, ids: np.ndarray, together: int = 0) -> Iterator[list[np.ndarray]]:
+    """Subwords of whole texts with the end, of some texts at a time that have about `together` subwords."""
+    together = (together or TOGETHER) * 4 // 2
+    for batch in batches:
+        upto = np.cumsum(batch["words"].map(len).to_numpy(np.int64))
+        cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(upto // together, prepend=0)), len(upto)]).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            _, lengths, tokens, sizes = unpacked(batch.iloc[a:b], of_known, ids)
+            begin = np.cumsum(lengths) - lengths
+            yield np.split(tokens, np.cumsum(np.add.reduceat(sizes, begin))[:-1])
+
+
+def followers(train: DataFrame, given, tokens: np.ndarray) -> np.ndarray:
     """How often each token follows each of single_classes, over all training texts."""
     single, bos, width = single_classes(tokens), len(tokens) - 2, SINGLES + 1
 
-    def task(texts: Iterator[bytes]) -> dict[str, np.ndarray]:
+    def task(batches: Iterator[pd.DataFrame]) -> dict[str, np.ndarray]:
         count = np.zeros(len(single) * width, np.int64)
-        for docs in spell(texts, path):
+        for docs in spell(batches, *given.value[1:3], together=4 * TOGETHER):
             ids = np.concatenate(docs)
             before = np.r_[bos, ids[:-1]]
             before[np.cumsum([len(d) for d in docs])[:-1]] = bos
@@ -470,7 +651,7 @@ def followers(train: DataFrame, path: str, tokens: np.ndarray) -> np.ndarray:
     return before
 
 
-def learn_all(train: DataFrame, path: str, model: Attention) -> int:
+def learn_all(train: DataFrame, known, model: Attention) -> int:
     """Fits model on all training texts, in rounds; how many subwords it was shown."""
     bos = len(model.classes) - 2
     shown, passes = 0, PASSES
@@ -478,9 +659,9 @@ def learn_all(train: DataFrame, path: str, model: Attention) -> int:
         rate = RATES[0] + (RATES[1] - RATES[0]) * n / (ROUNDS - 1)
         given = train.sparkSession.sparkContext.broadcast(model)
 
-        def task(texts: Iterator[bytes], given=given, rate=rate) -> dict[str, np.ndarray]:
+        def task(batches: Iterator[pd.DataFrame], given=given, rate=rate) -> dict[str, np.ndarray]:
             mine, state = None, {}
-            for docs in spell(texts, path):
+            for docs in spell(batches, *known.value[1:3]):
                 if mine is None:
                     mine = Attention.__new__(Attention)
                     mine.classes, mine.mask, mine.p = given.value.classes, given.value.mask, {k: v.copy() for k, v in given.value.p.items()}
@@ -493,8 +674,7 @@ def learn_all(train: DataFrame, path: str, model: Attention) -> int:
             whole = {k: v * np.float64(total) for k, v in mine.p.items() if k != "e"}
             return {"i": some, "i_n": read[some], "i_e": mine.p["e"][some] * read[some, None].astype(np.float32), "n": total} | whole
 
-        share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == n
-        found = summed(train.where(share), task, len(model.classes))
+        found = summed(train.where(F.col("round") == n), task, len(model.classes))
         if found:
             shown += int(found["n"])
             for k in model.p:
@@ -506,17 +686,6 @@ def learn_all(train: DataFrame, path: str, model: Attention) -> int:
     return shown
 
 
-def _numbers(key: str, words: list[bytes]) -> dict[bytes, int]:
-    """The words' numbers; a worker that serves several tasks of a result makes them once."""
-    if key not in _NUMBERS:
-        _NUMBERS.clear()
-        _NUMBERS[key] = {w: i for i, w in enumerate(words)}
-    return _NUMBERS[key]
-
-
-_NUMBERS: dict[str, dict[bytes, int]] = {}
-
-
 def score_documents(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
 
@@ -555,86 +724,63 @@ def score_documents(docs: DataFrame, path: str, frequent: int = FREQUENT) -> Dat
         tokens[r["token"]] = r["c"]
     tokens[eos] = ends
     sample = [np.array([i for w in words.split() for i in encode(b" " + w)] + [eos] * last, np.int64) for words, last in training_windows(train, int(totals[0]))]
-    classes = token_classes(tokens, followers(train, path, tokens))
+    # Of each frequent word, and of the end after them: subwords, count.
+    spelt = [encode(b" " + w) for w in known] + [[eos]]
+    sizes_of, ids_of = np.array([len(x) for x in spelt], np.int32), np.array([i for x in spelt for i in x], np.int32)
+    del spelt
+    frequent_ones = spark.sparkContext.broadcast((list(known), sizes_of, ids_of))
+    texts = table(numbered(rows.withColumn("round", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).cast("int")), frequent_ones, path))
+    learnt = texts.where("not held_out").select("words", "spelt", "sizes", "round")
+    classes = token_classes(tokens, followers(learnt, frequent_ones, tokens))
     model = Attention(size + 2, classes)
     losses = model.fit(sample, bos)
-    shown = learn_all(train, path, model)
+    shown = learn_all(learnt, frequent_ones, model)
     in_class = np.bincount(classes, tokens + 0.1)
     share = (np.log(tokens + 0.1) - np.log(in_class[classes])).astype(np.float32)
-    # Of each frequent word, and of the end after them: subwords, log count, count.
-    spelt = [encode(b" " + w) for w in known] + [[eos]]
-    sizes_of, ids_of = np.array([len(x) for x in spelt]), np.array([i for x in spelt for i in x], np.int32)
     known_counts = np.array([*known.values(), ends], np.int64)
-    given = spark.sparkContext.broadcast((list(known), sizes_of, ids_of, known_counts, model, share))
-    del spelt
-    key = uuid.uuid4().hex
+    given = spark.sparkContext.broadcast((sizes_of, ids_of, known_counts, model, share))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, of_known, ids, of_all, model, share = given.value
-        encode, size = subwords(path)
-        number = _numbers(key, known)
-        ids, logs = ids.astype(np.int64), np.log10(of_all.astype(float) + 1)
-        end = len(known)
-        rare: dict[bytes, list[int]] = {}
+        of_known, ids, of_all, model, share = given.value
+        logs = np.log10(of_all.astype(float) + 1)
+        end = len(of_all) - 1
         part, row = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             for at in range(0, len(batch), 100):
                 some = batch.iloc[at : at + 100]
-                texts = [text.lower().split() for text in some["text"]]
-                words = [w for t in texts for w in t]
-                lengths = np.array([len(t) for t in texts])
-                of = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
-                # Words beyond the frequent ones are numbered after the end.
-                new: dict[bytes, int] = {}
-                for i in np.flatnonzero(of < 0):
-                    of[i] = end + 1 + new.setdefault(words[i], len(new))
-                if len(rare) > CACHE:
-                    rare = dict(islice(rare.items(), CACHE // 2))
-                spelling = []
-                for w in new:
-                    one = rare.get(w)
-                    if one is None:
-                        one = encode(b" " + w)
-                        if len(w) <= WORD_BYTES:
-                            rare[w] = one
-                    spelling.append(one)
-                of = np.insert(of, np.cumsum(lengths), end)
-                lengths = lengths + 1
-                begin = np.cumsum(lengths) - lengths
-                size_of = np.r_[of_known, np.array([len(x) for x in spelling], np.int64)]
-                all_ids = np.r_[ids, np.array([i for x in spelling for i in x], np.int64)]
-                sizes = size_of[of]
-                upto = np.cumsum(sizes)
-                tokens = all_ids[np.arange(upto[-1]) + np.repeat((np.cumsum(size_of) - size_of)[of] - upto + sizes, sizes)]
+                names = [w for others in some["others"] for w in others.split()]
+                of, lengths, tokens, sizes = unpacked(some, of_known, ids)
+                begin, upto = np.cumsum(lengths) - lengths, np.cumsum(sizes)
                 seqs = np.split(tokens, upto[begin[1:] - 1])
-                base = np.add.reduceat(np.r_[logs, np.zeros(len(new))][of], begin) - lengths * np.log10(n_all + n_distinct + 1)
+                base = np.add.reduceat(np.r_[logs, np.zeros(len(names))][of], begin) - lengths * np.log10(n_all + n_distinct + 1)
                 have = np.add.reduceat((of <= end).astype(np.int64), begin) - (ends == 0)
-                owner = np.repeat(np.arange(len(texts)), lengths)
+                owner = np.repeat(np.arange(len(some)), lengths)
                 beyond = of > end
                 spelt = np.add.reduceat(model.score(seqs, bos, share), upto - sizes)
                 # What the other words are worth is added once their counts are known: for each text and word, of all its places.
-                by = np.lexsort((of[beyond], owner[beyond]))
+                by = np.argsort(of[beyond], kind="stable")
                 d, w, places = owner[beyond][by], of[beyond][by] - end - 1, spelt[beyond][by]
-                cuts = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
-                rest, names = [[] for _ in texts], list(new)
+                cuts = np.flatnonzero(np.diff(w, prepend=-1))
+                rest = [[] for _ in range(len(some))]
                 places, d, w = places.tolist(), d.tolist(), w.tolist()
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(d)], strict=False):
                     rest[d[a]].append({"word": names[w[a]], "spelt": places[a:b]})
                 # The frequent words, and the ends.
                 here = ~beyond
-                per_text, c = np.bincount(owner[here], minlength=len(texts)), of_all[of[here]]
+                per_text, c = np.bincount(owner[here], minlength=len(some)), of_all[of[here]]
                 spelt, train = spelt[here], ~some["held_out"].to_numpy(bool)[owner[here]]
-                fit = [None] * len(texts)
+                fit = [None] * len(some)
                 if train.any():
                     fit[0] = mixed(spelt[train], log_share(c[train] - 1, n_all - 1), np.array([train.sum()]))[0]
                 yield pd.DataFrame({
-                    "rid": part + row + np.arange(len(texts)), "doc_id": some["doc_id"].astype("Int64").array, "held_out": some["held_out"].array, "n_tokens": lengths,
+                    "rid": part + row + np.arange(len(some)), "doc_id": some["doc_id"].astype("Int64").array, "held_out": some["held_out"].array, "n_tokens": lengths,
                     "known": have, "base": base, "rest": rest, "mixed": list(mixed(spelt, log_share(c, n_all), per_text)), "fit": fit,
                 })
-                row += len(texts)
+                row += len(some)
+        release_memory()
 
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, rest array<struct<word:binary,spelt:array<double>>>, mixed array<double>, fit array<double>"
-    scored = table(rows.mapInPandas(run, schema))
+    scored = table(texts.drop("round").mapInPandas(run, schema))
     # Words beyond the frequent ones meet their counts in a join; one that training lacks has none.
     rest = scored.select("rid", "held_out", F.explode("rest").alias("r")).select("rid", "held_out", "r.word", "r.spelt").join(counts, "word", "left")
     rest = table(rest.select("rid", "held_out", "spelt", "c"))
